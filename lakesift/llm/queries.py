@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import bpe, line_dedup, ngram_join, quality_rules, token_counts
+from lakesift.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -37,8 +41,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_ngram_jaccard, op5_byte_bpe, op7_line_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_ngram_jaccard, op4_decontamination, op5_byte_bpe, op7_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": ngram_join.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+    return {"op3_ngram_jaccard": ngram_join.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
