@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules, token_counts
+from lakesift.llm import bpe, decontaminate, html_wrapper, line_dedup, ngram_join, quality_model, quality_rules, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +40,20 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.main_texts(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_ngram_jaccard, op4_decontamination, op5_byte_bpe, op7_line_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_ngram_jaccard, op4_decontamination, op5_byte_bpe, op7_line_dedup, op8_toxicity, op9_quality, op10_html_wrapper)}
 
 
 def oracle_sql() -> dict[str, str]:
