@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import bpe, decontaminate, html_wrapper, line_dedup, ngram_join, quality_model, quality_rules, token_counts, toxicity
+from lakesift.llm import bpe, decontaminate, html_wrapper, line_dedup, masked_lm, ngram_join, quality_model, quality_rules, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
@@ -53,7 +57,7 @@ def op10_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_ngram_jaccard, op4_decontamination, op5_byte_bpe, op7_line_dedup, op8_toxicity, op9_quality, op10_html_wrapper)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_ngram_jaccard, op4_decontamination, op5_byte_bpe, op6_masked_lm, op7_line_dedup, op8_toxicity, op9_quality, op10_html_wrapper)}
 
 
 def oracle_sql() -> dict[str, str]:
