@@ -1,4 +1,4 @@
-"""Name -> query and name -> SQL, gathered from the modules that define them."""
+"""Name -> query and name -> SQL, gathered from the modules in ``lakesift.plans`` that define them."""
 
 from __future__ import annotations
 
@@ -7,11 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with the SQL that must give the same rows."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    from lakesift.plans import containers, duplicates, history, pages, relational, scalars, states, streams, timing  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
