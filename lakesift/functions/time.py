@@ -9,6 +9,17 @@ MOVIE_EPOCH = 2_082_844_800  # seconds from 1904-01-01 to 1970-01-01
 MOST_OFFSET = 14 * 60
 
 
+def micros(name: str) -> Column:
+    """Microseconds of a zoneless timestamp column from 1970 on its own scale, whatever the session zone."""
+    return F.expr(f"CAST(CAST(CAST(CAST(`{name}` AS TIMESTAMP_NTZ) - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND) AS DECIMAL(20, 6)) * 1000000 AS BIGINT)")
+
+
+def seconds(name: str) -> Column:
+    """Floor seconds of ``micros``."""
+    m = micros(name)
+    return ((m - F.pmod(m, F.lit(1_000_000))) / F.lit(1_000_000).cast("decimal(10,0)")).cast("bigint")
+
+
 def _part(text: Column, pattern: str, k: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
 

@@ -1,0 +1,269 @@
+"""Queries on joins, aggregations, windows and set operations. Orders stand for runs, line items for members,
+
+customers for jobs, events for issues, benchmark items for earlier fingerprints. Survey rows D1-D36, E7-E22, E38-E40, F1-F10, H1-H6.
+Money is cast to integer cents before sums, so that no result depends on the order of additions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lakesift.functions import time as M
+from lakesift.registry import query, table
+
+_CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
+
+
+def _cents(name: str):
+    return F.round(F.col(name) * 100).cast("bigint")
+
+
+@query(f"SELECT o_orderkey, c_custkey, l_linenumber, {_CENTS} AS cents FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
+def ticket_join(spark, sf_dir):
+    """Three tables on their keys."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    m = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _cents("l_extendedprice").alias("cents"))
+    return m.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "l_linenumber", "cents")
+
+
+@query("SELECT l_orderkey, l_linenumber, p_name, s_name, n_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE p_size = 7")
+def bucket_join(spark, sf_dir):
+    """A chain of joins for one bucket."""
+    p = table(spark, sf_dir, "part").filter("p_size = 7").select("p_partkey", "p_name")
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
+    m = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return m.join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", "p_name", "s_name", "n_name")
+
+
+@query("SELECT d.doc_id, l.quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def optional_evidence(spark, sf_dir):
+    """Evidence that a row may lack."""
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "quality", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+
+
+@query(f"""WITH m AS (SELECT l_orderkey, count(*) AS n, sum({_CENTS}) AS cents FROM lineitem GROUP BY 1), r AS (SELECT l_orderkey, count(*) AS returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+  SELECT o_orderkey, coalesce(n, 0) AS members, coalesce(cents, 0) AS cents, coalesce(returned, 0) AS returned FROM orders LEFT JOIN m ON m.l_orderkey = o_orderkey LEFT JOIN r ON r.l_orderkey = o_orderkey""")
+def run_summary(spark, sf_dir):
+    """Several totals; one pass over the members gives them all."""
+    returned = F.count_if(F.col("l_returnflag") == "R")
+    m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("members"), F.sum(_cents("l_extendedprice")).alias("cents"), returned.alias("returned"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey").join(m, "o_orderkey", "left")
+    return o.select("o_orderkey", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("members", "cents", "returned")))
+
+
+@query("SELECT doc_id, strlen(text) AS size FROM documents WHERE strlen(text) IN (SELECT strlen(text) FROM documents GROUP BY 1 HAVING count(*) >= 2)")
+def semi_join_having(spark, sf_dir):
+    """Members of buckets of two or more."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("size"))
+    return d.join(d.groupBy("size").count().filter("count >= 2"), "size", "left_semi").select("doc_id", "size")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_join(spark, sf_dir):
+    """Members without an edge."""
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus <> 'F')")
+def all_members_settled(spark, sf_dir):
+    """Runs in which no member is open."""
+    opened = table(spark, sf_dir, "lineitem").filter("l_linestatus != 'F'")
+    return table(spark, sf_dir, "orders").join(opened, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("""WITH declared AS (SELECT o_orderkey AS k, list_sort(list_distinct([(o_orderkey * 3) % 7, (o_orderkey * 5) % 7, 1])) AS a FROM orders),
+  derived AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_suppkey % 7))) AS b FROM lineitem GROUP BY 1) SELECT d.k AS o_orderkey, coalesce(a = b, false) AS equal_sets FROM declared d LEFT JOIN derived USING (k)""")
+def relational_division(spark, sf_dir):
+    """Declared keys against keys derived from members, both ways."""
+    declared = table(spark, sf_dir, "orders").select("o_orderkey", F.array_sort(F.array_distinct(F.array(F.col("o_orderkey") * 3 % 7, F.col("o_orderkey") * 5 % 7, F.lit(1).cast("bigint")))).alias("a"))
+    derived = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set(F.col("l_suppkey") % 7)).alias("b"))
+    return declared.join(derived, "o_orderkey", "left").select("o_orderkey", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("equal_sets"))
+
+
+@query("SELECT a.s_suppkey AS low, b.s_suppkey AS high FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND b.s_suppkey > a.s_suppkey WHERE a.s_name <> b.s_name")
+def theta_self_join(spark, sf_dir):
+    """Pairs that share one key and differ in another; an equality carries the join."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name")
+    a, b = s.toDF("low", "k", "n"), s.toDF("high", "k", "m")
+    return a.join(b, "k").filter("high > low AND n != m").select("low", "high")
+
+
+@query("""WITH g AS (SELECT o_orderkey AS g, o_custkey AS a, o_orderkey % 97 AS b FROM orders WHERE o_orderkey % 10 = 0)
+  SELECT DISTINCT x.g AS left_group, y.g AS right_group FROM g x JOIN g y ON x.g < y.g AND (x.a = y.a OR (x.b = y.b AND x.a % 2 = y.a % 2)) WHERE x.a % 5 = 0 AND y.a % 5 = 0""")
+def overlap_by_either_key(spark, sf_dir):
+    """An OR of two keys as the union of two equi joins."""
+    g = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0 AND o_custkey % 5 = 0").select(F.col("o_orderkey").alias("g"), F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 97).alias("b"))
+    x, y = g.toDF("left_group", "a1", "b1"), g.toDF("right_group", "a2", "b2")
+    first = x.join(y, F.col("a1") == F.col("a2")).filter("left_group < right_group")
+    second = x.join(y, (F.col("b1") == F.col("b2")) & (F.col("a1") % 2 == F.col("a2") % 2)).filter("left_group < right_group")
+    return first.union(second).select("left_group", "right_group").distinct()
+
+
+@query("""WITH h AS (SELECT event_id, user_id % 50 AS k, ts FROM events WHERE event_type = (SELECT min(event_type) FROM events)), r AS (SELECT c_custkey, h.event_id, h.ts, row_number() OVER (PARTITION BY c_custkey ORDER BY h.ts DESC, h.event_id DESC) AS n
+  FROM customer JOIN h ON h.k = c_custkey % 50 WHERE c_custkey <= 300) SELECT c_custkey, event_id FROM r WHERE n = 1""")
+def latest_match(spark, sf_dir):
+    """The newest earlier row for each key; the history is reduced to one row a key before the join."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 50).alias("k"), "ts")
+    kind = e.agg(F.min("event_type").alias("event_type"))
+    newest = e.join(kind, "event_type", "left_semi").groupBy("k").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    c = table(spark, sf_dir, "customer").filter("c_custkey <= 300").select("c_custkey", (F.col("c_custkey") % 50).alias("k"))
+    return c.join(newest, "k").select("c_custkey", "event_id")
+
+
+@query("""WITH a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS k FROM documents WHERE doc_id < 2000), b AS (SELECT * FROM (VALUES ('en', 1), ('de', 2), (NULL, 3)) t(k, v)) SELECT a.doc_id, b.v FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k""")
+def null_safe_join(spark, sf_dir):
+    """Null equals null."""
+    a = table(spark, sf_dir, "documents").filter("doc_id < 2000").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("k"))
+    b = spark.createDataFrame([("en", 1), ("de", 2), (None, 3)], "kk string, v bigint")
+    return a.join(b, F.col("k").eqNullSafe(F.col("kk"))).select("doc_id", "v")
+
+
+@query("""WITH a AS (SELECT o_orderkey, unnest([1, 1 + o_orderkey % 4, 9]) AS ordinal FROM orders) SELECT o_orderkey, ordinal, l_partkey FROM a JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = ordinal""")
+def lateral_unnest_join(spark, sf_dir):
+    """Ordinals in an array joined with the rows they name."""
+    a = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(F.lit(1).cast("bigint"), 1 + F.col("o_orderkey") % 4, F.lit(9).cast("bigint"))).alias("ordinal"))
+    m = table(spark, sf_dir, "lineitem")
+    return a.join(m, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_linenumber") == F.col("ordinal"))).select("o_orderkey", "ordinal", "l_partkey")
+
+
+@query("SELECT o_orderkey, (SELECT l_partkey FROM lineitem WHERE l_orderkey = o_orderkey ORDER BY l_linenumber, l_partkey LIMIT 1) AS probe, (SELECT max(l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey) AS last FROM orders")
+def correlated_scalars(spark, sf_dir):
+    """The first row's value and a maximum for each run, in one aggregation."""
+    m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("probe"), F.max("l_linenumber").alias("last"))
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(m, "o_orderkey", "left")
+
+
+@query("SELECT DISTINCT ON (c_custkey) c_custkey, o_orderkey AS preview FROM customer JOIN orders ON o_custkey = c_custkey ORDER BY c_custkey, o_orderdate, o_orderkey")
+def preview_join(spark, sf_dir):
+    """One preview a group instead of a query for each."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("preview"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey")
+
+
+@query("""WITH s AS (SELECT user_id, ts, event_id, epoch_us(ts) // 1000000 AS t FROM events), d AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM s) SELECT event_id, gap, gap <= 5 AS near FROM d WHERE gap IS NOT NULL""")
+def adjacent_within_tolerance(spark, sf_dir):
+    """Neighbours in time and whether they are close."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumn("t", M.seconds("ts"))
+    return e.withColumn("gap", F.col("t") - F.lag("t").over(w)).filter("gap IS NOT NULL").select("event_id", "gap", (F.col("gap") <= 5).alias("near"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, sha256(role || '|' || text) AS h FROM conversations), p AS (SELECT *, lag(h) OVER w AS previous, lag(turn) OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  SELECT conv_id, turn, previous, before IS NULL OR before = turn - 1 AS continuous FROM p""")
+def chain_predecessor(spark, sf_dir):
+    """Each link's predecessor digest, and gaps in the sequence."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumn("h", F.sha2(F.concat("role", F.lit("|"), "text"), 256))
+    before = F.lag("turn").over(w)
+    return c.select("conv_id", "turn", F.lag("h").over(w).alias("previous"), (before.isNull() | (before == F.col("turn") - 1)).alias("continuous"))
+
+
+@query("""WITH f AS (SELECT c_custkey, c_mktsegment AS scope, c_nationkey AS config FROM customer WHERE c_acctbal < 0), n AS (SELECT scope, config, count(*) AS n, min(c_custkey) AS job FROM f GROUP BY ALL), k AS (SELECT DISTINCT c_mktsegment AS scope, c_nationkey AS config FROM customer)
+  SELECT k.scope, k.config, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS outcome, coalesce(n, 0) AS matches, CASE WHEN n = 1 THEN job END AS job FROM k LEFT JOIN n USING (scope, config)""")
+def recovery_target(spark, sf_dir):
+    """None, one or several failed jobs of the same scope and configuration."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("scope"), F.col("c_nationkey").alias("config"), (F.col("c_acctbal") < 0).alias("failed"))
+    n = F.count_if("failed")
+    g = c.groupBy("scope", "config").agg(n.alias("matches"), F.min(F.when(F.col("failed"), F.col("c_custkey"))).alias("job"))
+    return g.select("scope", "config", F.when(F.col("matches") == 0, "none").when(F.col("matches") == 1, "unique").otherwise("ambiguous").alias("outcome"), "matches", F.when(F.col("matches") == 1, F.col("job")).alias("job"))
+
+
+@query("SELECT o_orderkey FROM orders, (SELECT min(o_orderdate) + INTERVAL 400 DAY AS cutoff FROM orders) e WHERE o_orderdate > e.cutoff")
+def single_row_cutoff(spark, sf_dir):
+    """All runs against one aggregated row."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    cutoff = o.agg((F.min("o_orderdate") + F.expr("INTERVAL 400 DAY")).alias("cutoff"))  # one row
+    return o.join(F.broadcast(cutoff), F.col("o_orderdate") > F.col("cutoff")).select("o_orderkey")
+
+
+@query("SELECT s_suppkey FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey IS NULL OR r_regionkey IS NULL OR r_name <> 'REGION_1' AND n_regionkey = 1")
+def missing_or_contradicting_parent(spark, sf_dir):
+    """Two optional parents; a missing or contradicting one is a violation."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    s = table(spark, sf_dir, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey"), "left").join(r, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    return s.filter("n_nationkey IS NULL OR r_regionkey IS NULL OR (r_name <> 'REGION_1' AND n_regionkey = 1)").select("s_suppkey")
+
+
+@query("SELECT c.o_orderkey AS child, p.o_orderkey AS parent FROM orders c JOIN orders p ON p.o_orderkey = c.o_orderkey - 1 WHERE c.o_custkey <> p.o_custkey AND c.o_orderkey % 4 = 0")
+def parent_child(spark, sf_dir):
+    """A child and the run it follows."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c, p = o.filter("o_orderkey % 4 = 0").toDF("child", "c1"), o.toDF("parent", "c2")
+    return c.join(p, F.col("parent") == F.col("child") - 1).filter("c1 != c2").select("child", "parent")
+
+
+@query("""SELECT o_custkey, count(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 'unknown:' || o_orderkey ELSE 'known:' || hex(o_orderpriority) END) AS independent FROM orders GROUP BY o_custkey""")
+def distinct_synthetic_keys(spark, sf_dir):
+    """Known keys once each, unknown ones all."""
+    key = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("unknown:"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("known:"), F.hex("o_orderpriority")))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.countDistinct(key).alias("independent"))
+
+
+@query("SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS d, count(*) = count(DISTINCT l_linenumber) AND min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AS contiguous FROM lineitem GROUP BY l_orderkey")
+def contiguous_ordinals(spark, sf_dir):
+    """Ordinals distinct and without gaps."""
+    n, d = F.count("*"), F.countDistinct("l_linenumber")
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(n.alias("n"), d.alias("d"), ((n == d) & (F.min("l_linenumber") == 1) & (F.max("l_linenumber") == n)).alias("contiguous"))
+
+
+@query("SELECT user_id, count(*) AS issues, count(*) FILTER (WHERE event_id % 3 = 0) AS unresolved, sum(event_id % 5 * 2) AS bytes_twice FROM events GROUP BY user_id")
+def issue_totals(spark, sf_dir):
+    """Counts, unresolved ones, and sums counted twice."""
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("issues"), F.count_if(F.col("event_id") % 3 == 0).alias("unresolved"), F.sum(F.col("event_id") % 5 * 2).alias("bytes_twice"))
+
+
+@query("SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM events) + 1 AS records, (SELECT coalesce(max(o_orderkey), 0) FROM orders) AS highest")
+def record_count(spark, sf_dir):
+    """A sum of counts over tables, and the highest id."""
+    tables = {t: table(spark, sf_dir, t) for t in ("orders", "lineitem", "events")}
+    parts = [tables["orders"].agg(F.count("*").alias("n"), F.coalesce(F.max("o_orderkey"), F.lit(0)).alias("h")), *(tables[t].agg(F.count("*").alias("n"), F.lit(0).alias("h")) for t in ("lineitem", "events"))]
+    return parts[0].union(parts[1]).union(parts[2]).agg((F.sum("n") + 1).alias("records"), F.max("h").alias("highest"))
+
+
+@query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING min(o_orderpriority) <> max(o_orderpriority)")
+def mixed_values(spark, sf_dir):
+    """Keys whose rows disagree."""
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("a"), F.max("o_orderpriority").alias("b")).filter("a != b").select("o_custkey")
+
+
+@query("""SELECT o_orderstatus, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS evidence, count(*) FILTER (WHERE o_orderpriority LIKE '2%') AS unavailable, count(*) FILTER (WHERE NOT o_orderpriority LIKE '1%' AND NOT o_orderpriority LIKE '2%') AS failed, max(epoch_us(o_orderdate) // 1000000) AS last FROM orders GROUP BY 1""")
+def terminal_counts(spark, sf_dir):
+    """Counts by outcome and the latest time, in one aggregation."""
+    p = F.substring("o_orderpriority", 1, 1)
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count_if(p == "1").alias("evidence"), F.count_if(p == "2").alias("unavailable"), F.count_if(~p.isin("1", "2")).alias("failed"), F.max(M.seconds("o_orderdate")).alias("last"))
+
+
+@query("SELECT l_orderkey, l_linenumber, probe FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS probe FROM lineitem) WHERE probe <= 4")
+def top_four(spark, sf_dir):
+    """Four probes a group; the limit is part of the rule."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("bigint").alias("probe")).filter("probe <= 4")
+
+
+@query("SELECT conv_id, turn, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS bytes, count(*) OVER (PARTITION BY conv_id ORDER BY turn) AS records FROM conversations")
+def cumulative_totals(spark, sf_dir):
+    """Running records and bytes of a batch."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sum(F.octet_length("text")).over(w).alias("bytes"), F.count("*").over(w).alias("records"))
+
+
+@query("SELECT c_nationkey, c_custkey AS best FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer) WHERE n = 1")
+def best_candidate(spark, sf_dir):
+    """the preferred row of each group, the first at ties."""
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min_by("c_custkey", F.struct(-F.col("c_acctbal"), "c_custkey")).alias("best"))
+
+
+@query("SELECT 'customer' AS kind, c_nationkey AS k FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier")
+def union_all(spark, sf_dir):
+    """H1."""
+    return table(spark, sf_dir, "customer").select(F.lit("customer").alias("kind"), F.col("c_nationkey").alias("k")).unionByName(table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT o_orderkey, list_sort(list_filter([o_orderkey % 5, o_orderkey % 3, 4], lambda x: NOT list_contains([1, 2], x))) AS orphans, list_sort(list_distinct([o_orderkey % 5, o_orderkey % 3])) AS joined FROM orders")
+def set_difference(spark, sf_dir):
+    """H4, H5: companions without a scope, and unions without repeats."""
+    o = F.col("o_orderkey")
+    orphans = F.array_sort(F.filter(F.array(o % 5, o % 3, F.lit(4).cast("bigint")), lambda x: ~x.isin(1, 2)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", orphans.alias("orphans"), F.array_sort(F.array_union(F.array(o % 5), F.array(o % 3))).alias("joined"))

@@ -146,7 +146,7 @@ def calendar_days(spark, sf_dir):
   (raw - 4000000000) * 1 AS s, strftime(make_timestamp((raw - 2082844800) * 1000000), '%Y-%m-%d %H:%M:%S UTC') AS shown FROM d""")
 def movie_times(spark, sf_dir):
     """Seconds from 1904, total nanoseconds, and text."""
-    raw = F.unix_timestamp("o_orderdate") + M.MOVIE_EPOCH
+    raw = M.seconds("o_orderdate") + M.MOVIE_EPOCH
     d = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
     i = M.movie_seconds(F.col("raw"))
     return d.select("o_orderkey", i.alias("instant"), M.total_nanos(i, F.col("o_orderkey")).cast("string").alias("total_nanos"), (F.col("raw") - 4_000_000_000).alias("s"), M.display_utc(i).alias("shown"))
