@@ -24,24 +24,36 @@ def _part(text: Column, pattern: str, k: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def days(year: Column, month: Column, day: Column) -> Column:
     """Days from 1970-01-01 in the proleptic Gregorian calendar; null for dates that don't exist or years outside 1 to 9999."""
-    y, m, d = year.cast("bigint"), month.cast("bigint"), day.cast("bigint")
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    last = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    ok = y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= last)
-    # March as the first month makes the leap day the last of its year.
-    a = F.when(m <= 2, y - 1).otherwise(y)
-    shifted = (m + 9) % 12
-    floor = lambda x, n: F.floor(x / n).cast("bigint")
-    return F.when(ok, 365 * a + floor(a, 4) - floor(a, 100) + floor(a, 400) + floor(153 * shifted + 2, 5) + d - 1 - 719468)
+
+    def count(p: Column) -> Column:
+        y, m, d = p.y, p.m, p.d
+        leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+        last = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+        ok = y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= last)
+        # March as the first month makes the leap day the last of its year.
+        a = F.when(m <= 2, y - 1).otherwise(y)
+        floor = lambda x, n: F.floor(x / n).cast("bigint")
+        return F.when(ok, 365 * a + floor(a, 4) - floor(a, 100) + floor(a, 400) + floor(153 * ((m + 9) % 12) + 2, 5) + d - 1 - 719468)
+
+    return let(F.struct(year.cast("bigint").alias("y"), month.cast("bigint").alias("m"), day.cast("bigint").alias("d")), count)
 
 
 def wall_seconds(parts: list[Column]) -> Column:
     """Seconds of a wall time (year to second) from 1970 on the wall scale; seconds go to 59."""
-    y, mo, d, h, mi, s = parts
-    ok = h.cast("int").between(0, 23) & mi.cast("int").between(0, 59) & s.cast("int").between(0, 59)
-    return F.when(ok, days(y, mo, d) * 86400 + h.cast("bigint") * 3600 + mi.cast("bigint") * 60 + s.cast("bigint"))
+
+    def count(p: Column) -> Column:
+        y, mo, d, h, mi, s = (F.get(p, F.lit(k)) for k in range(6))
+        ok = h.between(0, 23) & mi.between(0, 59) & s.between(0, 59)
+        return F.when(ok, days(y, mo, d) * 86400 + h * 3600 + mi * 60 + s)
+
+    return let(F.array(*(x.cast("bigint") for x in parts)), count)
 
 
 _EXIF = r"^([0-9]{4}):([0-9]{2}):([0-9]{2}) ([0-9]{2}):([0-9]{2}):([0-9]{2})$"

@@ -1,0 +1,113 @@
+"""Queries on capture-time evidence. Orders stand for analyses; fields are derived from them. Survey rows D24, E23-E30, I30, J1-J12, J15-J17, J19."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lakesift.functions import time as M
+from lakesift.operators import timepolicy as P
+from lakesift.registry import query, table
+
+_FIELDS = r"""base AS (SELECT o_orderkey AS analysis, epoch_us(o_orderdate) // 1000000 AS t, o_orderkey % 4 AS r, o_orderkey % 11 AS d, o_orderkey % 6 = 0 AS floating, o_orderkey % 7 <> 0 AS verified FROM orders),
+fields AS (
+  SELECT analysis, 1 AS source, 'a' AS lineage, 'dto' AS kind, t AS wall, CASE WHEN floating THEN NULL ELSE 120 END AS minutes, verified FROM base
+  UNION ALL SELECT analysis, 2, 'b', 'dto', t + CASE r WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3600 ELSE 5000 END, CASE WHEN floating THEN NULL ELSE 120 END, verified FROM base WHERE d < 6
+  UNION ALL SELECT analysis, 1, 'a', 'create', t + 10, NULL, verified FROM base WHERE d > 3),
+atoms AS (SELECT *, wall - 60 * minutes AS instant, CASE WHEN kind = 'dto' THEN CASE WHEN minutes IS NULL THEN 'medium' ELSE 'high' END ELSE 'low' END AS confidence, kind = 'dto' AS strong FROM fields)"""
+
+
+def fields(spark, sf_dir):
+    """Evidence of two sources: original times with offsets in their scope, some far apart, and creation times."""
+    k = F.col("o_orderkey")
+    base = table(spark, sf_dir, "orders").select(k.alias("analysis"), F.col("o_orderdate").alias("t"), (k % 4).alias("r"), (k % 11).alias("d"), (k % 6 == 0).alias("floating"), (k % 7 != 0).alias("verified"))
+
+    def rows(df, source, lineage, kind, raw):
+        return df.select("analysis", F.lit(source).alias("source"), F.lit(lineage).alias("lineage"), F.lit("ifd0").alias("scope"), F.lit(kind).alias("kind"), raw.alias("raw"), "verified")
+
+    text = lambda c: F.date_format(c, "yyyy:MM:dd HH:mm:ss")
+    shift = F.expr("t + make_interval(0, 0, 0, 0, 0, 0, CASE r WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3600 ELSE 5000 END)")
+    other = base.filter("d < 6")
+    parts = [rows(base, 1, "a", "dto", text("t")), rows(other, 2, "b", "dto", text(shift)), rows(base.filter("d > 3"), 1, "a", "create", text(F.expr("t + INTERVAL 10 SECOND")))]
+    parts += [rows(x.filter("NOT floating"), s, line, "offset", F.lit("+02:00")) for x, s, line in ((base, 1, "a"), (other, 2, "b"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@query(f"WITH {_FIELDS} SELECT analysis, source, kind, wall, minutes, instant, confidence, strong FROM atoms")
+def time_atoms(spark, sf_dir):
+    """Fields joined with the companions of their scope, graded."""
+    return P.atoms(fields(spark, sf_dir)).select("analysis", "source", "kind", "wall", "minutes", "instant", "confidence", "strong")
+
+
+@query(f"""WITH {_FIELDS}, g AS (SELECT analysis, min(instant) AS i0, max(instant) AS i1, min(wall) AS w0, max(wall) AS w1, min(CASE WHEN instant IS NULL THEN wall END) AS f0, max(CASE WHEN instant IS NULL THEN wall END) AS f1 FROM atoms WHERE strong GROUP BY analysis),
+  a AS (SELECT analysis, greatest(coalesce(i1 - i0, 0), coalesce(w1 - f0, 0), coalesce(f1 - w0, 0)) AS apart FROM g)
+  SELECT analysis, apart, CASE WHEN (apart + 2) // 3600 BETWEEN 1 AND 14 AND abs(apart - (apart + 2) // 3600 * 3600) <= 2 THEN 'possible_time_zone' ELSE 'strong' END AS code FROM a WHERE apart > 2""")
+def time_conflicts(spark, sf_dir):
+    """Strong times too far apart, and whether by whole hours."""
+    return P.strong_conflicts(P.atoms(fields(spark, sf_dir)))
+
+
+@query(f"""WITH {_FIELDS}, x AS (SELECT analysis, lineage, kind, CASE WHEN instant IS NULL THEN 'w' || wall ELSE 'u' || instant END AS s FROM atoms) SELECT analysis, lineage, kind FROM x GROUP BY ALL HAVING count(DISTINCT s) > 1
+  UNION ALL SELECT o_orderkey, 'a', 'dto' FROM orders WHERE o_orderkey % 10 = 3""")
+def lineage_conflicts(spark, sf_dir):
+    """Lineages that state two times; a planted second time must be found, an equal instant must not."""
+    f = fields(spark, sf_dir)
+    planted = f.filter((F.col("analysis") % 10 == 3) & (F.col("kind") == "dto") & (F.col("source") == 1)).withColumn("raw", F.lit("2001:01:01 00:00:00")).withColumn("source", F.lit(3))
+    return P.lineage_conflicts(P.atoms(f.union(planted)))
+
+
+@query(f"""WITH {_FIELDS} SELECT analysis, wall, minutes, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, array_to_string(list_sort(list_distinct(list(lineage))), ',') AS lineages,
+  CASE max(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence, max(CASE kind WHEN 'dto' THEN 5 ELSE 3 END) AS priority, bool_and(verified) AS verified FROM atoms GROUP BY analysis, wall, minutes""")
+def time_candidates(spark, sf_dir):
+    """Equal times merged."""
+    c = P.candidates(P.atoms(fields(spark, sf_dir)))
+    text = lambda x: F.concat_ws(",", F.col(x).cast("array<string>")).alias(x)
+    return c.select("analysis", "wall", "minutes", text("kinds"), text("sources"), text("lineages"), "confidence", "priority", "verified")
+
+
+@query(f"""WITH {_FIELDS}, g AS (SELECT analysis, min(instant) AS i0, max(instant) AS i1, min(wall) AS w0, max(wall) AS w1, min(CASE WHEN instant IS NULL THEN wall END) AS f0, max(CASE WHEN instant IS NULL THEN wall END) AS f1 FROM atoms WHERE strong GROUP BY analysis),
+  conflict AS (SELECT analysis FROM g WHERE greatest(coalesce(i1 - i0, 0), coalesce(w1 - f0, 0), coalesce(f1 - w0, 0)) > 2),
+  cand AS (SELECT analysis, wall, minutes, instant, max(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS c, max(CASE kind WHEN 'dto' THEN 5 ELSE 3 END) AS p, bool_and(verified) AS v FROM atoms GROUP BY ALL),
+  m AS (SELECT cand.*, conflict.analysis IS NOT NULL AS x FROM cand LEFT JOIN conflict USING (analysis)),
+  a AS (SELECT m.*, EXISTS (SELECT 1 FROM m o WHERE o.analysis = m.analysis AND o.c = 3 AND m.c = 3 AND NOT m.x AND o.p = m.p AND o.instant <> m.instant AND abs(o.instant - m.instant) <= 2) AS near FROM m),
+  e AS (SELECT *, NOT x AND c = 3 AND v AND instant IS NOT NULL AND NOT near AS eligible FROM a),
+  r AS (SELECT *, row_number() OVER (PARTITION BY analysis ORDER BY eligible DESC, c DESC, instant IS NOT NULL DESC, p DESC, wall, minutes) AS n FROM e)
+  SELECT analysis, CASE WHEN x THEN 'conflict' WHEN eligible THEN 'eligible' ELSE 'review' END AS decision, CASE WHEN NOT x THEN wall END AS wall, CASE WHEN NOT x THEN CASE c WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END END AS confidence FROM r WHERE n = 1""")
+def time_decisions(spark, sf_dir):
+    """The policy's decision for each analysis."""
+    return P.decisions(fields(spark, sf_dir)).select("analysis", "decision", "wall", "confidence")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS member, o_orderkey * 1000 AS candidate, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey * 1000 + o_orderkey % 5 * 400 END AS birth, o_orderkey * 1000 + o_orderkey % 4 * 500 AS modified FROM orders), r AS (SELECT *, CASE WHEN birth IS NULL THEN NULL ELSE abs(birth - candidate) <= 1000 END AS b, abs(modified - candidate) <= 1000 AS m FROM m)
+  SELECT member, CASE WHEN coalesce(b, true) AND m THEN 'matches' ELSE 'differs' END AS by_value, CASE WHEN coalesce(b, false) OR m THEN 'matches' ELSE 'differs' END AS by_rule, (coalesce(b, true) AND m) <> (coalesce(b, false) OR m) AS disagree FROM r""")
+def member_assessments(spark, sf_dir):
+    """File times against the candidate, by the value's rule (both) and the validator's (either), and where they disagree."""
+    k = F.col("o_orderkey")
+    birth = F.when(k % 3 != 0, k * 1000 + k % 5 * 400)
+    b, m = F.abs(birth - k * 1000) <= 1000, F.abs(k % 4 * 500) <= 1000
+    value, rule = F.coalesce(b, F.lit(True)) & m, F.coalesce(b, F.lit(False)) | m
+    name = lambda c: F.when(c, "matches").otherwise("differs")
+    return table(spark, sf_dir, "orders").select(k.alias("member"), name(value).alias("by_value"), name(rule).alias("by_rule"), (value != rule).alias("disagree"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 AS wall, 60 * (o_orderkey % 14) AS minutes, epoch_us(o_orderdate) // 1000000 - 3600 * (o_orderkey % 14) + CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END AS instant FROM orders) SELECT o_orderkey, wall - 60 * minutes AS expected, instant FROM s WHERE instant <> wall - 60 * minutes""")
+def stored_value_violations(spark, sf_dir):
+    """Stored instants recomputed from wall time and offset; only planted errors differ."""
+    k = F.col("o_orderkey")
+    s = table(spark, sf_dir, "orders").select("o_orderkey", M.seconds("o_orderdate").alias("wall"), (60 * (k % 14)).alias("minutes"))
+    s = s.withColumn("instant", F.col("wall") - 3600 * (k % 14) + F.when(k % 50 == 0, 1).otherwise(0)).withColumn("expected", M.instant_seconds(F.col("wall"), F.col("minutes")))
+    return s.filter("instant != expected").select("o_orderkey", "expected", "instant")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS member_group, l_linenumber AS rank, l_partkey AS report, l_returnflag = 'R' AS ok, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS n FROM lineitem)
+  SELECT member_group, min(n) FILTER (WHERE ok) AS tried, arg_min(report, n) FILTER (WHERE ok) AS report FROM p WHERE n <= 4 GROUP BY member_group""")
+def probe_fallback(spark, sf_dir):
+    """The first of up to four probes that verifies."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("member_group"), F.col("l_partkey").alias("report"), (F.col("l_returnflag") == "R").alias("ok"), F.row_number().over(w).cast("bigint").alias("n")).filter("n <= 4")
+    n = F.when(F.col("ok"), F.col("n"))
+    return p.groupBy("member_group").agg(F.min(n).alias("tried"), F.min_by("report", n).alias("report"))
