@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _LOCAL_ROOT: list[str] = []
@@ -42,6 +47,55 @@ def store(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, instead of when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+FILTER_BITS, FILTER_SLOTS = 23, 128
+
+
+def membership(ids: DataFrame, name: str) -> np.ndarray:
+    """A bitmap of fixed size (1 MB) that has a bit set for the hash of each id; other ids may share bits."""
+    width = (1 << FILTER_BITS) // FILTER_SLOTS // 8
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy(zero_copy_only=False)] = True
+        if bits.any():
+            parts = np.packbits(bits).reshape(FILTER_SLOTS, width)
+            some = [k for k in range(FILTER_SLOTS) if parts[k].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["slot", "bits"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[slot] = held.get(slot, np.zeros(width, np.uint8)) | np.frombuffer(bits, np.uint8)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["slot", "bits"])
+
+    places = ids.select(F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS)).alias("place"))
+    out = np.zeros((FILTER_SLOTS, width), np.uint8)
+    for row in places.mapInArrow(mark, "slot int, bits binary").repartition(16, "slot").mapInArrow(unite, "slot int, bits binary").collect():
+        out[row.slot] = np.frombuffer(row.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def members_only(df: DataFrame, name: str, bitmap: np.ndarray) -> DataFrame:
+    """Rows whose id may be in the bitmap, so that the rest needn't be shuffled; a join has the last word."""
+    sent = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def hit(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+
+    return df.filter(hit(F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS))))
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``store`` wrote for ``df``, once nothing reads it any more."""
     path = getattr(df, "_lakesift_path", None)

@@ -7,15 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesift.llm.bpe import slices
-from lakesift.llm.common import WordHashes, discard, shingles, store
+from lakesift.llm.common import WordHashes, discard, members_only, membership, release, shingles, store
 from lakesift.llm.components import components
 
-BITS = 18  # the sketch of shingle frequencies has 2**BITS counters, whatever the input
-SLOTS = 64
+BITS = 22  # the sketch of shingle frequencies has 2**BITS counters, whatever the input
+SLOTS = 512  # so that one row of counters is small
 _HASHES = WordHashes()
 
 
@@ -32,27 +32,29 @@ def frequency_levels(docs: DataFrame, text: str = "text") -> np.ndarray:
     width = (1 << BITS) // SLOTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, dtype=np.int64)
+        total = np.zeros(1 << BITS, dtype=np.uint32)
         for batch in batches:
             for part in slices(batch, 0):
                 found = [shingles(t, _HASHES) for t in part.column(0).to_pylist()]
                 if found:
-                    total += np.bincount((np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+                    at, times = np.unique((np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int32), return_counts=True)
+                    total[at] += times.astype(np.uint32)
         if total.any():
-            low = total.astype("<i8").reshape(SLOTS, width)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array([x.astype("<u4").tobytes() for x in low], pa.binary())], ["slot", "counts"])
+            low = np.minimum(total, 0xFFFF).astype("<u2").reshape(SLOTS, width)  # far beyond what tells frequent from rare
+            some = np.flatnonzero(low.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([low[k].tobytes() for k in some], pa.binary())], ["slot", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[slot] = sums.get(slot, 0) + np.frombuffer(counts, dtype="<u4").astype(np.int64)
+                sums[slot] = sums.get(slot, 0) + np.frombuffer(counts, dtype="<u2").astype(np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], ["slot", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in sums.values()], pa.binary())], ["slot", "counts"])
 
     out = np.zeros((SLOTS, width), dtype=np.int64)
-    for row in _texts(docs, text).mapInArrow(count, "slot int, counts binary").repartition("slot").mapInArrow(add, "slot int, counts binary").collect():
-        out[row.slot] = np.frombuffer(row.counts, dtype="<i8")
+    for row in _texts(docs, text).mapInArrow(count, "slot int, counts binary").repartition(64, "slot").mapInArrow(add, "slot int, counts binary").collect():
+        out[row.slot] = np.frombuffer(row.counts, dtype="<u4")
     flat = out.reshape(-1)
     usual = max(8.0, 1.5 * flat.sum() / len(flat))
     return np.where(flat <= usual, 0, 1 + np.floor(np.log2(np.maximum(flat, 1) / usual))).clip(0, 60).astype(np.uint8)
@@ -142,7 +144,8 @@ def ngram_join(docs: DataFrame, *, text: str = "text", most_star_rounds: int = 8
     """``doc_id``, ``n_shingles`` and ``component_id`` for each row: all links of 0.8 or more, as components.
 
     1. Rows with equal sets fall into one class, whatever its size; classes go on under their least doc_id.
-    2. Classes that share a shingle of their order-1 prefixes stand in one list. In each list every class is
+    2. Classes that share a shingle of their order-1 prefixes stand in one list; two of them can only be similar if few
+       enough shingles stand before it in both. In each list every class is
        compared with one pivot; pairs must also pass the filters of orders 2 and 3, and are then verified on whole
        texts. Once lists hold few pairs across components, or pivots no longer join many, all pairs across
        components are compared. Pairs inside a component add nothing, so no link between components is lost,
@@ -157,15 +160,22 @@ def ngram_join(docs: DataFrame, *, text: str = "text", most_star_rounds: int = 8
     rows = store(sets.select("doc_id", "n", "s1", "s2"))
     classes = store(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "cold", "hot", "p2", "p3"))).filter("node IS NOT NULL"))
     discard(sets)
+    release(docs.sparkSession)
     lists = _lists(classes)
+    release(docs.sparkSession)
     facts = classes.select("node", "n", "p2", "p3")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(facts.toDF("a", "na", "a2", "a3"), "a").join(facts.toDF("b", "nb", "b2", "b3"), "b")
-        pairs = store(pairs.filter("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b", "na", "nb", "a2", "a3", "b2", "b3").mapInArrow(_other_orders, "a bigint, b bigint"))
-        texts = _texts(docs, text, "doc_id")
+        pairs = store(pairs.select("a", "b").distinct())
+        release(docs.sparkSession)
+        near = members_only(facts, "node", membership(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node"))
+        pairs = pairs.join(near.toDF("a", "na", "a2", "a3"), "a").join(near.toDF("b", "nb", "b2", "b3"), "b")
+        pairs = store(pairs.select("a", "b", "na", "nb", "a2", "a3", "b2", "b3").mapInArrow(_other_orders, "a bigint, b bigint"))
+        texts = members_only(_texts(docs, text, "doc_id"), "doc_id", membership(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node"))
         pairs = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-        return store(pairs.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint").distinct())
+        out = store(pairs.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint").distinct())
+        release(docs.sparkSession)
+        return out
 
     links = None
     before = None
@@ -185,13 +195,16 @@ def ngram_join(docs: DataFrame, *, text: str = "text", most_star_rounds: int = 8
         last = across <= 2 * members + 20_000 or turn == most_star_rounds or (before is not None and across > before / 2)
         if last:
             pairs = part.toDF(*(f"{c}_a" for c in part.columns)).join(part.toDF(*(f"{c}_b" for c in part.columns)), F.col("token_a") == F.col("token_b"))
-            pairs = pairs.filter("node_a < node_b AND component_a != component_b AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+            enough = _enough(*(F.col(c) for c in ("n_a", "pos_a", "n_b", "pos_b")))
+            pairs = pairs.filter(F.expr("node_a < node_b AND component_a != component_b") & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         else:
             ranked = part if degree is None else part.join(degree, "node", "left")
-            order = F.struct(F.lit(0) if degree is None else F.coalesce("degree", F.lit(0)), F.xxhash64("node", F.lit(turn)))
-            pivots = ranked.groupBy("token").agg(F.max_by(F.struct("node", "component"), order).alias("p"))
-            pairs = part.join(pivots, "token").filter("component != p.component").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-        new = verified(pairs.distinct())
+            # First the class with fewest rare shingles before the token, the most usual one; then the one with most links.
+            order = F.struct((-F.col("pos")).alias("k"), (-F.col("n")).alias("n"), (-F.col("node")).alias("i")) if degree is None else F.struct(F.coalesce("degree", F.lit(0)).alias("k"), F.xxhash64("node", F.lit(turn)).alias("i"))
+            pivots = ranked.groupBy("token").agg(F.max_by(F.struct("node", "component", "n", "pos"), order).alias("p"))
+            pairs = part.join(pivots, "token").filter((F.col("component") != F.col("p.component")) & _enough(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
+            pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+        new = verified(pairs)
         links = new if links is None else links.union(new)
         before = across
         if last:
@@ -205,19 +218,23 @@ def ngram_join(docs: DataFrame, *, text: str = "text", most_star_rounds: int = 8
     return rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
 
 
+def _enough(n: Column, pos: Column, m: Column, at: Column) -> Column:
+    """Whether two sets can be similar if they first meet, in order 1, at these positions: what stands before is not shared."""
+    return F.least(n - pos, m - at) >= F.floor((4 * (n + m) + 8) / 9)
+
+
 def _lists(classes: DataFrame) -> DataFrame:
-    """``token``, ``node``, ``n`` for each order-1 prefix shingle that two or more classes have.
+    """``token``, ``node``, ``n`` and position ``pos`` for each order-1 prefix shingle that two or more classes have.
 
     A cold shingle stands in as many sets as its counter says at most, a fixed small share of all, so its
     list is one window. Hot ones are counted before the shuffle and joined back, and such a join can be split.
     """
-    from pyspark.sql import Window
-
-    cold = classes.select("node", "n", F.explode("cold").alias("token"))
-    cold = cold.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1").select("token", "node", "n")
-    hot = classes.select("node", "n", F.explode("hot").alias("token"))
+    names = ("token", "node", "n", "pos")
+    cold = classes.select("node", "n", F.posexplode("cold").alias("pos", "token"))
+    cold = cold.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1").select(*names)
+    hot = classes.select("node", "n", F.size("cold").alias("before"), F.posexplode("hot").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("before"))
     often = hot.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    hot = hot.join(often, "token", "left_semi").select("token", "node", "n")
+    hot = hot.join(often, "token", "left_semi").select(*names)
     return store(cold.union(hot))
 
 
