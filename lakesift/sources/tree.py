@@ -44,7 +44,8 @@ def media_files(files: DataFrame) -> DataFrame:
 
 def within_depth(files: DataFrame, root: str, most: int = 64) -> tuple[DataFrame, DataFrame]:
     """Files at most so many directories below the root, and an issue for each of the others."""
-    depth = F.size(F.split(F.substring(F.col("path"), F.length(F.lit(root)) + 1, 1 << 20), "/")) - 1
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
+    depth = F.size(F.split(plain(F.col("path")), "/")) - F.size(F.split(plain(F.lit(root.rstrip("/"))), "/")) - 1
     issue = files.filter(depth > most).select("path", F.lit("depth_limit").alias("code"))
     return files.filter(depth <= most), issue
 
