@@ -76,9 +76,9 @@ def line_dedup(docs: DataFrame, *, text: str = "text", long_line: int = 25) -> D
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     t = f"`{text}`"
     runs = repeated_runs(store(line_hashes(docs, text)), long_line)
-    runs = runs.groupBy("d", "v").agg(F.collect_set(F.struct("start", "end")).alias("__runs"))
+    runs = runs.groupBy(F.col("d").alias("__run_d"), F.col("v").alias("__run_v")).agg(F.collect_set(F.struct("start", "end")).alias("__runs"))
     keyed = docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("__v", F.xxhash64(t))
-    out = keyed.join(runs.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("__v") == F.col("v")), "left")
+    out = keyed.join(runs.hint("shuffle_hash"), (F.col("doc_id") == F.col("__run_d")) & (F.col("__v") == F.col("__run_v")), "left")
     kept = F.expr(f"filter(split({t}, '\\n'), (x, i) -> NOT exists(__runs, r -> i >= r.start AND i < r.end))")
     lines = F.when(F.col(t).isNull(), 0).otherwise(F.size(F.split(F.col(t), "\n")))
     out = out.withColumn("__kept", F.when(F.col("__runs").isNotNull(), kept)).withColumn("n_lines", lines.cast("bigint"))
