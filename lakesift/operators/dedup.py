@@ -52,15 +52,15 @@ def narrowed(files: DataFrame, target: int = SAMPLE_BYTES) -> DataFrame:
 def verified_members(files: DataFrame, target: int = SAMPLE_BYTES, strict_bucket: bool = False) -> DataFrame:
     """Members of exact groups with ``group_key`` (digest) and ``representative``, content compared byte by byte.
 
-    The file with the least id stands for its bucket. Where digests collide, files unlike the representative
-    form no group with it; ``strict_bucket`` gives up such a bucket as a whole.
+    A bucket of one digest is split into classes of equal content, told apart by a second hash and then compared with the
+    class's least file. ``strict_bucket`` gives up a bucket with more than one class as a whole.
     """
-    found = narrowed(files, target)
-    first = found.groupBy("size", "digest").agg(F.min_by(F.struct("file_id", "content"), "file_id").alias("r"))
-    joined = found.join(first, ["size", "digest"]).withColumn("same", F.col("content") == F.col("r.content"))
-    bad = joined.groupBy("size", "digest").agg(F.min("same").alias("ok"), F.sum(F.col("same").cast("int")).alias("n"))
-    bad = bad.filter((F.col("n") > 1) & (F.col("ok") if strict_bucket else F.lit(True))).select("size", "digest")
-    members = joined.filter("same").join(bad, ["size", "digest"], "left_semi")
+    found = narrowed(files, target).withColumn("mark", F.xxhash64("content"))
+    first = found.groupBy("size", "digest", "mark").agg(F.min_by(F.struct("file_id", "content"), "file_id").alias("r"), F.count("*").alias("n"))
+    members = found.join(first.filter("n > 1"), ["size", "digest", "mark"]).filter(F.col("content") == F.col("r.content"))
+    if strict_bucket:
+        split = first.groupBy("size", "digest").agg(F.count("*").alias("classes")).filter("classes > 1")
+        members = members.join(split, ["size", "digest"], "left_anti")
     return members.select(F.col("digest").alias("group_key"), "size", "file_id", "path", "object_key", F.col("r.file_id").alias("representative"))
 
 

@@ -267,3 +267,19 @@ def set_difference(spark, sf_dir):
     o = F.col("o_orderkey")
     orphans = F.array_sort(F.filter(F.array(o % 5, o % 3, F.lit(4).cast("bigint")), lambda x: ~x.isin(1, 2)))
     return table(spark, sf_dir, "orders").select("o_orderkey", orphans.alias("orphans"), F.array_sort(F.array_union(F.array(o % 5), F.array(o % 3))).alias("joined"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS cents, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'final' ELSE 'partial' END AS state, CAST(epoch_us(o_orderdate) // 1000000 AS VARCHAR) AS "at" FROM orders""")
+def wire_rows(spark, sf_dir):
+    """Rows as a client gets them, integers as decimal text and states by name."""
+    state = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "final").otherwise("partial")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), _cents("o_totalprice").cast("string").alias("cents"), state.alias("state"), M.seconds("o_orderdate").cast("string").alias("at"))
+
+
+@query("""WITH t AS (SELECT doc_id, source AS path_key, strlen(text) AS signature FROM documents), b AS (SELECT doc_id, lang AS other_key, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE strlen(text) END AS signature FROM documents)
+  SELECT t.doc_id, t.signature IS NOT DISTINCT FROM b.signature AS same FROM t JOIN b USING (doc_id)""")
+def rebound_tickets(spark, sf_dir):
+    """Stored tickets joined with what is there now, signatures compared null-safely."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("signature"))
+    now = d.select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("signature")).alias("other"))
+    return d.join(now, "doc_id").select("doc_id", F.col("signature").eqNullSafe(F.col("other")).alias("same"))
