@@ -124,7 +124,7 @@ atexit.register(_delete_all)
 class WordHashes(dict):
     """64-bit hash of each word (bytes), remembered for up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

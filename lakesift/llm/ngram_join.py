@@ -168,12 +168,15 @@ def ngram_join(docs: DataFrame, *, text: str = "text", most_star_rounds: int = 8
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = store(pairs.select("a", "b").distinct())
         release(docs.sparkSession)
-        near = members_only(facts, "node", membership(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node"))
+        # Stored, so that both sides of a join read little and no task runs several Python workers at once.
+        near = store(members_only(facts, "node", membership(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")))
         pairs = pairs.join(near.toDF("a", "na", "a2", "a3"), "a").join(near.toDF("b", "nb", "b2", "b3"), "b")
         pairs = store(pairs.select("a", "b", "na", "nb", "a2", "a3", "b2", "b3").mapInArrow(_other_orders, "a bigint, b bigint"))
-        texts = members_only(_texts(docs, text, "doc_id"), "doc_id", membership(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node"))
+        discard(near)
+        texts = store(members_only(_texts(docs, text, "doc_id"), "doc_id", membership(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")))
         pairs = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
         out = store(pairs.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint").distinct())
+        discard(texts)
         release(docs.sparkSession)
         return out
 
@@ -243,9 +246,9 @@ def keep_one(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     Documents without shingles and rows without a doc_id stay. Of rows with one doc_id, one stays.
     """
-    stay = store(ngram_join(docs, text=text)).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    stay = store(ngram_join(docs, text=text)).filter("doc_id = component_id").select("doc_id").distinct()
     ids = docs.filter(F.col("doc_id").isNotNull())
-    return ids.join(stay, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"]).union(docs.filter(F.col("doc_id").isNull()))
+    return ids.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter(F.col("doc_id").isNull()))
 
 
 #: DuckDB: exact sets and all pairs that share a shingle, for small tables.
