@@ -180,31 +180,32 @@ def ngram_join(docs: DataFrame, *, text: str = "text", most_star_rounds: int = 8
         release(docs.sparkSession)
         return out
 
+    names = ("token", "node", "n", "pos")
     links = None
     before = None
     for turn in range(most_star_rounds + 1):
-        part = lists.withColumn("component", F.col("node"))
-        degree = None
-        if links is not None:
-            found = store(components(links))
-            part = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if links is None:
+            part = lists.select(*names, F.col("node").alias("component"), F.lit(0).cast("bigint").alias("degree"))
+        else:
             degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+            part = lists.join(store(components(links).join(degree, "node")), "node", "left")
+            part = part.select(*names, F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
         mixed = part.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
         mixed = store(mixed.filter("m * m > q"))
         members, across = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.expr("(m * m - q) / 2")), F.lit(0))).first()
         if not members:
             break
         part = store(part.join(mixed.select("token"), "token", "left_semi"))
+        lists = part.select(*names)  # lists of one component need not be looked at again
         last = across <= 2 * members + 20_000 or turn == most_star_rounds or (before is not None and across > before / 2)
         if last:
             pairs = part.toDF(*(f"{c}_a" for c in part.columns)).join(part.toDF(*(f"{c}_b" for c in part.columns)), F.col("token_a") == F.col("token_b"))
             enough = _enough(*(F.col(c) for c in ("n_a", "pos_a", "n_b", "pos_b")))
             pairs = pairs.filter(F.expr("node_a < node_b AND component_a != component_b") & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         else:
-            ranked = part if degree is None else part.join(degree, "node", "left")
             # First the class with fewest rare shingles before the token, the most usual one; then the one with most links.
-            order = F.struct((-F.col("pos")).alias("k"), (-F.col("n")).alias("n"), (-F.col("node")).alias("i")) if degree is None else F.struct(F.coalesce("degree", F.lit(0)).alias("k"), F.xxhash64("node", F.lit(turn)).alias("i"))
-            pivots = ranked.groupBy("token").agg(F.max_by(F.struct("node", "component", "n", "pos"), order).alias("p"))
+            order = F.struct((-F.col("pos")).alias("k"), (-F.col("n")).alias("n"), (-F.col("node")).alias("i")) if links is None else F.struct(F.col("degree").alias("k"), F.xxhash64("node", F.lit(turn)).alias("i"))
+            pivots = part.groupBy("token").agg(F.max_by(F.struct("node", "component", "n", "pos"), order).alias("p"))
             pairs = part.join(pivots, "token").filter((F.col("component") != F.col("p.component")) & _enough(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
             pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
         new = verified(pairs)
@@ -233,11 +234,14 @@ def _lists(classes: DataFrame) -> DataFrame:
     list is one window. Hot ones are counted before the shuffle and joined back, and such a join can be split.
     """
     names = ("token", "node", "n", "pos")
+    # Not even the smallest set of the list that it could match leaves room for what stands before.
+    room = _enough(F.col("n"), F.col("pos"), F.greatest(F.col("least"), F.ceil(F.col("n") * 4 / 5)), F.lit(-(1 << 30)))
+    w = Window.partitionBy("token")
     cold = classes.select("node", "n", F.posexplode("cold").alias("pos", "token"))
-    cold = cold.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1").select(*names)
+    cold = cold.withColumn("c", F.count("*").over(w)).withColumn("least", F.min("n").over(w)).filter("c > 1").filter(room).select(*names)
     hot = classes.select("node", "n", F.size("cold").alias("before"), F.posexplode("hot").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("before"))
-    often = hot.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    hot = hot.join(often, "token", "left_semi").select(*names)
+    often = hot.groupBy("token").agg(F.count("*").alias("c"), F.min("n").alias("least")).filter("c > 1").select("token", "least")
+    hot = hot.join(often, "token").filter(room).select(*names)
     return store(cold.union(hot))
 
 
