@@ -183,6 +183,7 @@ def ngram_join(docs: DataFrame, *, text: str = "text", most_star_rounds: int = 8
     names = ("token", "node", "n", "pos")
     links = None
     before = None
+    most_star_rounds = max(1, most_star_rounds)
     for turn in range(most_star_rounds + 1):
         if links is None:
             part = lists.select(*names, F.col("node").alias("component"), F.lit(0).cast("bigint").alias("degree"))
@@ -197,7 +198,8 @@ def ngram_join(docs: DataFrame, *, text: str = "text", most_star_rounds: int = 8
             break
         part = store(part.join(mixed.select("token"), "token", "left_semi"))
         lists = part.select(*names)  # lists of one component need not be looked at again
-        last = across <= 2 * members + 20_000 or turn == most_star_rounds or (before is not None and across > before / 2)
+        # A first round of pivots always joins copies; then all pairs across components, once they are few or pivots help little.
+        last = turn > 0 and (across <= 2 * members + 20_000 or turn == most_star_rounds or across > before / 2)
         if last:
             pairs = part.toDF(*(f"{c}_a" for c in part.columns)).join(part.toDF(*(f"{c}_b" for c in part.columns)), F.col("token_a") == F.col("token_b"))
             enough = _enough(*(F.col(c) for c in ("n_a", "pos_a", "n_b", "pos_b")))
