@@ -300,6 +300,41 @@ def test_masked_lm(spark, docs, texts, empty):
     assert masked_lm.pseudo_likelihood(empty).count() == 0
 
 
+def test_masked_lm_tells_all_words_apart(spark):
+    rng = random.Random(5)
+    frequent = [f"a{k}" for k in range(600)]
+    texts = [" ".join(rng.choices(frequent, k=100)) for _ in range(200)] + [f"once{k} pair{k} pair{k} tail{k % 5} tail{k % 5} gib{k} gib{k} gib{k}" for k in range(50)]
+    lexicon, net = masked_lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    counts = Counter(w.encode() for t in texts for w in t.split())
+    ids = masked_lm.Ids(lexicon)
+    own = {w: ids[w] for w, c in counts.items() if c >= masked_lm.LEAST}
+    assert len(set(own.values())) == len(own) > masked_lm.TOKENS
+    size = len(lexicon.counts)
+    assert all(lexicon.counts[k] == counts[w] for w, k in own.items()) and lexicon.counts.sum() == sum(counts.values())
+    around = np.full((4, size), own[b"a7"], np.int32)
+    assert abs(np.exp(net.log_likelihood(around, np.arange(size)).astype(float)).sum() - 1) < 1e-3
+    total = 0.0
+    for w in counts:
+        value = net.log_likelihood(around[:, :1], np.array([ids[w]]))[0] + (ids.within[ids[w] - masked_lm.HEAD] if w not in own else 0)
+        total += np.exp(value)
+    used = [k for k in range(size) if lexicon.counts[k] > 0]
+    assert abs(total - np.exp(net.log_likelihood(around[:, : len(used)], np.array(used)).astype(float)).sum()) < 1e-3
+
+
+def test_masked_lm_gradient():
+    """Every step on a batch makes the batch likelier, and each task's rows alone are moved."""
+    counts = np.random.default_rng(3).zipf(1.3, 3000).clip(1, 10_000).astype(float)
+    net = masked_lm.Network.start(np.sort(counts)[::-1])
+    rng = np.random.default_rng(4)
+    around, target = rng.integers(0, 3000, (4, 512)).astype(np.int32), rng.integers(0, 3000, 512)
+    state = masked_lm.State(net)
+    before = net.log_likelihood(around, target).mean()
+    for _ in range(20):
+        net.log_likelihood(around, target, (state, 0.05))
+    assert net.log_likelihood(around, target).mean() > before + 0.5
+    assert (state.hits[0].reshape(4, -1)[:, :-1].sum(axis=1) == 20 * np.array([len(set(a)) for a in around])).all()
+
+
 def test_bitmap(spark):
     ids = spark.range(100).toDF("k")
     bits = common.membership(ids, "k")
