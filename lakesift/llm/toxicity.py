@@ -40,9 +40,8 @@ def terms(text: bytes | None) -> Features:
 class FactorizationMachine:
     """score = bias + sum of weights + sum over pairs of terms of the product of their factors.
 
-    Terms are taken only from buckets with a place in ``place`` (-1: none), those whose share of texts differs
-    clearly between the classes; texts are sets of terms, and the pairs' sum is divided by the number of
-    terms, so that it doesn't grow with the length of the text.
+    Terms are taken from buckets with a place in ``place`` (-1: none), those of enough training texts; texts are sets
+    of terms, and the pairs' sum is divided by the number of terms, so that it doesn't grow with the length of the text.
     """
 
     bias: float
@@ -60,8 +59,13 @@ class FactorizationMachine:
         return float(self.bias + self.weight[at].sum() + 0.5 * (total @ total - (v * v).sum()) / len(at))
 
 
-def fit(rows: list[Features], y: np.ndarray, *, factors: int = 8, epochs: int = 12, rate: float = 0.1, l2: float = 2e-4, least_texts: int = 4, clearly: float = 4.5, seed: int = 8) -> FactorizationMachine:
-    """Logistic loss, one text at a time in a fixed random order, with AdaGrad steps; classes weigh alike."""
+def fit(rows: list[Features], y: np.ndarray, *, factors: int = 8, epochs: int = 12, rate: float = 0.1, l2: float = 2e-4, least_texts: int = 4, clearly: float = 4.5, least_pace: float = 0.005, seed: int = 8) -> FactorizationMachine:
+    """Logistic loss, one text at a time in a fixed random order, with AdaGrad steps; classes weigh alike.
+
+    All terms of ``least_texts`` texts have a weight and factors. A term whose share of texts differs between the classes
+    by fewer than ``clearly`` standard errors learns more slowly, down to ``least_pace``, and never not at all: it may
+    matter only beside another term.
+    """
     rng = np.random.default_rng(seed)
     seen = np.bincount(np.concatenate([r[0] for r in rows]) if rows else np.empty(0, np.int64), minlength=1 << BITS)
     place = np.full(1 << BITS, -1, dtype=np.int32)
@@ -70,10 +74,11 @@ def fit(rows: list[Features], y: np.ndarray, *, factors: int = 8, epochs: int =
     among = np.bincount(np.concatenate([r[0] for r, t in zip(rows, y) if t == 1] + [np.empty(0, np.int64)]).astype(np.int64), minlength=1 << BITS)
     share = seen / max(1, len(y))
     apart = np.abs(among / positive - (seen - among) / negative) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / positive + 1 / negative))
-    active = np.flatnonzero((seen >= least_texts) & (apart >= clearly))
+    active = np.flatnonzero(seen >= least_texts)
+    pace = rate * (np.maximum(least_pace, np.minimum(1, apart[active] / clearly) ** 8) if clearly else np.ones(len(active)))
     place[active] = np.arange(len(active))
     w, v = np.zeros(len(active)), rng.normal(0, 0.05, (len(active), factors))
-    gw, gv, bias, gb = np.full(len(active), 1e-2), np.full((len(active), factors), 1e-2), 0.0, 1e-2
+    gw, gv, bias, gb = np.full(len(active), 1e-2), np.full((len(active), factors), 10.0), 0.0, 1e-2
     weights = np.where(y == 1, len(y) / (2 * positive), len(y) / (2 * negative))
     local = [(lambda a: a[a >= 0])(place[r[0]]) for r in rows]
     for _ in range(epochs):
@@ -88,7 +93,7 @@ def fit(rows: list[Features], y: np.ndarray, *, factors: int = 8, epochs: int =
             bias -= rate * g / np.sqrt(gb)
             dw = g + l2 * w[at]
             gw[at] += dw * dw
-            w[at] -= rate * dw / np.sqrt(gw[at])
+            w[at] -= pace[at] * dw / np.sqrt(gw[at])
             dv = g * (total - vk) / n + l2 * vk
             gv[at] += dv * dv
             v[at] -= rate * dv / np.sqrt(gv[at])

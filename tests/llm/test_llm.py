@@ -261,6 +261,21 @@ def test_interactions_are_learnt():
     assert np.mean(np.array(says) == np.array(y, bool)) > 0.97
 
 
+def test_interactions_of_terms_common_in_both_classes():
+    """Each term is as common in toxic as in clean texts, and the production defaults still learn the pair."""
+    rng = np.random.default_rng(9)
+    rows, y = [], []
+    for k in range(2000):
+        a, b = k % 2, (k // 2) % 2
+        at = np.unique(np.array([10] * a + [20] * b + list(rng.integers(1000, 1100, 3)), dtype=np.int32))
+        rows.append((at, np.ones(len(at), np.float32)))
+        y.append(a == b)
+    model = toxicity.fit(rows, np.array(y, float))
+    assert model.place[10] >= 0 and model.place[20] >= 0
+    says = [model.margin(r[0]) > 0 for r in rows]
+    assert np.mean(np.array(says) == np.array(y, bool)) > 0.97
+
+
 def test_fold(spark):
     got = spark.range(50).select("id", labelled.fold(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
