@@ -1,6 +1,7 @@
 """Cases with known results: duplicates, times, pages, validators, exports, containers, trees and streams."""
 
 import json
+import random
 import struct
 
 import pytest
@@ -177,3 +178,23 @@ def test_text_functions(spark):
     assert evaluate(spark, X.valid_path(F.lit("a/../b"))) is False
     assert evaluate(spark, X.format_bytes(F.lit(1536))) == "1.5 KiB"
     assert evaluate(spark, X.csv_field(F.lit('a"b'))) == '"a""b"'
+
+
+def test_whole_tables_are_joined(spark, tmp_path):
+    """Rows outside the subsets of the queries checked by the older SQL: keys, customers and documents of any number."""
+    from lakesift.plans import relational
+
+    rng = random.Random(3)
+    orders = [(k, rng.randrange(1, 60)) for k in range(1, 401)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    got = [tuple(r) for r in relational.overlap_by_either_key_whole(spark, str(tmp_path)).collect()]
+    want = {(g, h) for g, a in orders for h, b in orders if g < h and (a == b or (g % 97 == h % 97 and a % 2 == b % 2))}
+    assert len(got) == len(want) and set(got) == want
+    got = {tuple(r) for r in relational.parent_child_whole(spark, str(tmp_path)).collect()}
+    assert got == {(c, p) for (p, a), (c, b) in zip(orders, orders[1:]) if a != b}
+    spark.createDataFrame([(1, "en"), (2500, "de"), (2502, "en"), (9000, "fr"), (9001, None)], "doc_id bigint, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in relational.null_safe_join_whole(spark, str(tmp_path)).collect()} == {(1, 1), (2500, 2), (2502, 3), (9000, 3), (9001, 3)}
+    spark.range(1, 1001).toDF("c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, "a" if k % 2 else "b", k, k // 100) for k in range(1, 400)], "event_id bigint, event_type string, user_id bigint, ts bigint").write.parquet(f"{tmp_path}/events.parquet")
+    newest = {u: max((k for k in range(1, 400, 2) if k % 50 == u), key=lambda k: (k // 100, k)) for u in range(1, 50, 2)}
+    assert {tuple(r) for r in relational.latest_match_whole(spark, str(tmp_path)).collect()} == {(c, newest[c % 50]) for c in range(1, 1001) if c % 2}
