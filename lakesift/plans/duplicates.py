@@ -130,8 +130,19 @@ def ordered_manifest(spark, sf_dir):
 @query("""WITH a AS (SELECT doc_id, text, lead(text) OVER (PARTITION BY strlen(text) ORDER BY doc_id) AS other, lead(doc_id) OVER (PARTITION BY strlen(text) ORDER BY doc_id) AS other_id FROM documents)
   SELECT doc_id, other_id, text = other AS same, CASE WHEN text = other THEN NULL ELSE list_position([ascii(substring(text, i, 1)) = ascii(substring(other, i, 1)) FOR i IN range(1, 9)], false) - 1 END AS first_difference FROM a WHERE other IS NOT NULL""")
 def compare_neighbours(spark, sf_dir):
-    """Equality of two files of one size and, within the first eight characters, where they differ first."""
+    """D23 in part: equality of two files of one size and, within the first eight characters, where they differ first."""
     w = Window.partitionBy(F.octet_length("text")).orderBy("doc_id")
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lead("text").over(w).alias("other"), F.lead("doc_id").over(w).alias("other_id")).filter("other IS NOT NULL")
     at = F.expr("array_position(transform(sequence(1, 8), i -> ascii(substring(text, i, 1)) = ascii(substring(other, i, 1))), false)")
     return d.select("doc_id", "other_id", (F.col("text") == F.col("other")).alias("same"), F.when((F.col("text") != F.col("other")) & (at > 0), at - 1).alias("first_difference"))
+
+
+@query()
+def compare_neighbours_whole(spark, sf_dir):
+    """Equality of two files of one size and the first character, from 0, where they differ, found by halving."""
+    w = Window.partitionBy(F.octet_length("text")).orderBy("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lead("text").over(w).alias("other"), F.lead("doc_id").over(w).alias("other_id")).filter("other IS NOT NULL")
+    at = F.expr("""aggregate(sequence(0, int(ceil(log2(1 + length(text))))), named_struct('low', 0, 'high', length(text)), (s, i) -> if(s.low >= s.high, s,
+      if(substring(text, s.low + 1, (s.low + s.high + 1) div 2 - s.low) = substring(other, s.low + 1, (s.low + s.high + 1) div 2 - s.low),
+        named_struct('low', int((s.low + s.high + 1) div 2), 'high', s.high), named_struct('low', s.low, 'high', int((s.low + s.high + 1) div 2 - 1)))), s -> bigint(s.low))""")
+    return d.select("doc_id", "other_id", (F.col("text") == F.col("other")).alias("same"), F.when(F.col("text") != F.col("other"), at).alias("first_difference"))

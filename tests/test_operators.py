@@ -198,3 +198,20 @@ def test_whole_tables_are_joined(spark, tmp_path):
     spark.createDataFrame([(k, "a" if k % 2 else "b", k, k // 100) for k in range(1, 400)], "event_id bigint, event_type string, user_id bigint, ts bigint").write.parquet(f"{tmp_path}/events.parquet")
     newest = {u: max((k for k in range(1, 400, 2) if k % 50 == u), key=lambda k: (k // 100, k)) for u in range(1, 50, 2)}
     assert {tuple(r) for r in relational.latest_match_whole(spark, str(tmp_path)).collect()} == {(c, newest[c % 50]) for c in range(1, 1001) if c % 2}
+
+
+def test_first_difference_wherever_it_is(spark, tmp_path):
+    from lakesift.plans import duplicates
+
+    base = "abcdefghij" * 50
+    texts = [base, base, base[:499] + "X", base[:8] + "X" + base[9:], "X" + base[1:], base[:250] + "X" + base[251:], "é" + "a" * 20, "aa" + "é" + "a" * 18, "", "", "漢字" * 40 + "a", "漢字" * 40 + "b", "x" * 7, "x" * 6 + "y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in duplicates.compare_neighbours_whole(spark, str(tmp_path)).collect()}
+    by_size = {}
+    for k, t in enumerate(texts):
+        by_size.setdefault(len(t.encode()), []).append(k)
+    pairs = {(a, b) for ks in by_size.values() for a, b in zip(ks, ks[1:])}
+    assert {(r.doc_id, r.other_id) for r in got.values()} == pairs
+    for a, b in pairs:
+        where = next((k for k, (x, y) in enumerate(zip(texts[a], texts[b])) if x != y), None)
+        assert (got[a].same, got[a].first_difference) == (texts[a] == texts[b], where)
