@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +50,16 @@ def _label(name: str, attributes: str) -> str:
     return ".".join([name, *sorted(words)])
 
 
-def page_tokens(page: str | None) -> tuple[list[str], list[tuple[str, int]]]:
+def block_key(leaf: str, block: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{leaf}\n{block}") - (1 << 63)
+
+
+def page_tokens(page: str | None, constant: frozenset[int] = frozenset()) -> tuple[list[str], list[tuple[str, int]]]:
     """Token stream of a page and, for its ``#`` tokens in order, each block's text and characters in links.
 
     Tokens are ``<label`` and ``/name`` of elements that hold blocks and ``#label`` for a block of text in a leaf such as
-    ``p``; inline elements are part of the text. Comments, scripts and styles give nothing.
+    ``p``; inline elements are part of the text. Comments, scripts and styles give nothing. A block whose key is in
+    ``constant`` belongs to the template: its token ``=key`` stands for its string, and it is no slot.
     """
     tokens: list[str] = []
     texts: list[tuple[str, int]] = []
@@ -64,7 +70,9 @@ def page_tokens(page: str | None) -> tuple[list[str], list[tuple[str, int]]]:
         nonlocal linked
         block = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
-        if block:
+        if block and constant and (key := block_key(leaf, block)) in constant:
+            tokens.append(f"={key}")
+        elif block:
             tokens.append("#" + leaf)
             texts.append((block, min(linked, len(block))))
         linked = 0
@@ -204,7 +212,7 @@ def slots(wrapper: list) -> list[tuple[tuple[str, ...], str, list]]:
                 walk(node[1])
             elif node[1][0] == "<":
                 stack.append(node[1][1:])
-            else:
+            elif node[1][0] == "/":
                 name = node[1][1:]
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k].split(".")[0] == name:
@@ -303,8 +311,8 @@ def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.expr(f"try_parse_url(CAST(`{url}` AS STRING), 'HOST')")), F.lit(""))
 
 
-def main_text(wrapper: Wrapper | None, page: str | None) -> str:
-    tokens, texts = page_tokens(page)
+def main_text(wrapper: Wrapper | None, page: str | None, constant: frozenset[int] = frozenset()) -> str:
+    tokens, texts = page_tokens(page, constant)
     if not texts:
         return ""
     found = wrapper.extract(tokens, texts) if wrapper is not None else None
@@ -317,8 +325,58 @@ def main_text(wrapper: Wrapper | None, page: str | None) -> str:
     return " ".join(found)
 
 
-def infer_wrappers(pages: DataFrame, *, url: str = "url", page: str = "html", salts: int = 32) -> DataFrame:
-    """``host`` and ``wrapper`` (JSON). Every page takes part.
+def constant_blocks(pages: DataFrame, *, url: str = "url", page: str = "html") -> DataFrame:
+    """``host`` and ``constant``: keys of the blocks that stand on every page of a host of two different pages or more.
+
+    Aligned with any other page they match; all other blocks are slots, also those that only a few pages lack.
+    Tasks give the blocks common to their own pages; those common to all tasks remain. Pages without blocks don't count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[int, int, set[int]]] = {}
+        for batch in batches:
+            for part in slices(batch, 1):
+                for host, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    tokens, texts = page_tokens(p)
+                    if not texts:
+                        continue
+                    leaves = (t[1:] for t in tokens if t[0] == "#")
+                    keys = {block_key(leaf, block) for leaf, (block, _) in zip(leaves, texts)}
+                    whole = xxhash.xxh3_64_intdigest("\n".join([*tokens, *(block for block, _ in texts)])) - (1 << 63)
+                    low, high, common = held.get(host, (whole, whole, keys))
+                    held[host] = min(low, whole), max(high, whole), common & keys
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(held, pa.string()), pa.array([x[0] for x in held.values()], pa.int64()), pa.array([x[1] for x in held.values()], pa.int64()), pa.array([sorted(x[2]) for x in held.values()], pa.list_(pa.int64()))],
+            ["host", "low", "high", "common"],
+        )
+
+    parts = store(pages.select(host_of(url).alias("host"), F.col(page).cast("string").alias("page")).mapInArrow(run, "host string, low bigint, high bigint, common array<bigint>"))
+    hosts = parts.groupBy("host").agg(F.count("*").alias("n")).join(parts.groupBy("host").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high"), "host")
+    keys = parts.select("host", F.explode("common").alias("key")).groupBy("host", "key").agg(F.count("*").alias("m"))
+    return store(keys.join(hosts, "host").filter("m = n").groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("constant")))
+
+
+def with_constants(pages: DataFrame, constants: DataFrame, url: str) -> DataFrame:
+    """``pages`` with ``__key``, the host, and ``__constant``."""
+    keyed = pages.withColumn("__key", host_of(url))
+    return keyed.join(constants.select(F.col("host").alias("__of"), F.col("constant").alias("__constant")), F.col("__key") == F.col("__of"), "left").drop("__of")
+
+
+_CONSTANT: dict[tuple, frozenset[int]] = {}
+
+
+def _constant(keys: list[int] | None) -> frozenset[int]:
+    if not keys:
+        return frozenset()
+    if (at := tuple(keys)) not in _CONSTANT:
+        if len(_CONSTANT) > 500:
+            _CONSTANT.clear()
+        _CONSTANT[at] = frozenset(at)
+    return _CONSTANT[at]
+
+
+def infer_wrappers(pages: DataFrame, *, url: str = "url", page: str = "html", salts: int = 32, constants: DataFrame | None = None) -> DataFrame:
+    """``host`` and ``wrapper`` (JSON). Every page takes part; ``constants`` are those of ``constant_blocks``.
 
     Each task aligns the pages it reads, host by host, into one wrapper a host; those are aligned by host and salt
     and then by host, in the order of their text. So a host's pages never meet in one task, however many it has.
@@ -328,8 +386,8 @@ def infer_wrappers(pages: DataFrame, *, url: str = "url", page: str = "html", sa
         own: dict[str, dict[str, list]] = defaultdict(dict)
         for batch in batches:
             for part in slices(batch, 1):
-                for host, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    tokens, texts = page_tokens(p)
+                for host, p, constant in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    tokens, texts = page_tokens(p, _constant(constant))
                     if texts:
                         nodes = page_wrapper(tokens, texts)
                         shapes, shape = own[host], " ".join(map(core, nodes))
@@ -347,7 +405,8 @@ def infer_wrappers(pages: DataFrame, *, url: str = "url", page: str = "html", sa
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(nodes, ensure_ascii=False)]})
 
     schema = "host string, wrapper string"
-    parts = pages.select(host_of(url).alias("host"), F.col(page).cast("string").alias("page")).mapInArrow(fold, schema)
+    known = with_constants(pages, constant_blocks(pages, url=url, page=page) if constants is None else constants, url)
+    parts = known.select(F.col("__key").alias("host"), F.col(page).cast("string").alias("page"), "__constant").mapInArrow(fold, schema)
     parts = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
     parts = parts.groupBy("host", "salt").applyInPandas(lambda rows: merge(rows), schema)
     return store(parts.groupBy("host").applyInPandas(lambda rows: merge(rows), schema))
@@ -382,20 +441,21 @@ def main_texts(pages: DataFrame, *, url: str = "url", page: str = "html") -> Dat
     """All columns of ``pages`` but the html, with ``text`` and ``n_chars`` (code points) of the main text.
 
     White space inside a block becomes one space, and blocks are joined by one. Null and empty pages, and pages
-    without an article, get an empty text. Rows without a host (no url) share a wrapper. Repeated rows give
+    without an article, get an empty text. Blocks that stand on every page of a host are template, not article. Rows without a host (no url) share a wrapper. Repeated rows give
     repeated results. Columns ``text`` and ``n_chars`` of the input are replaced.
     """
     names = [c for c in pages.columns if c not in (page, "text", "n_chars")]
     types = dict(pages.dtypes)
-    wrappers = infer_wrappers(pages, url=url, page=page).select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"))
-    keyed = pages.withColumn("__key", host_of(url))
-    rows = keyed.join(wrappers, F.col("__key") == F.col("__host"), "left").select(*(F.col(f"`{c}`") for c in names), "__wrapper", F.col(page).cast("string").alias("__page"))
+    constants = constant_blocks(pages, url=url, page=page)
+    wrappers = infer_wrappers(pages, url=url, page=page, constants=constants).select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"))
+    keyed = with_constants(pages, constants, url)
+    rows = keyed.join(wrappers, F.col("__key") == F.col("__host"), "left").select(*(F.col(f"`{c}`") for c in names), "__constant", "__wrapper", F.col(page).cast("string").alias("__page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             last = batch.num_columns - 1
             for part in slices(batch, last):
-                found = [main_text(_compiled(w), p) for w, p in zip(part.column(last - 1).to_pylist(), part.column(last).to_pylist())]
+                found = [main_text(_compiled(w), p, _constant(c)) for c, w, p in zip(*(part.column(k).to_pylist() for k in (last - 2, last - 1, last)))]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], [*names, "text", "n_chars"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "text string", "n_chars bigint"])

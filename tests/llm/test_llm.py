@@ -298,6 +298,16 @@ def test_wrapper(spark, empty):
     assert [n[0] for n in html_wrapper.page_wrapper(tokens, blocks)] == ["t", "+", "t"]
 
 
+def test_wrapper_leaves_out_constant_blocks(spark):
+    """Notices in plain elements inside the article, the same on all pages of a host; a host of one page keeps all."""
+    page = lambda k: f"<body><article><div>Our menu</div><h1>Head {k}</h1><p>All rights belong to us.</p>" + "".join(f"<p>Part {k} {i}</p>" for i in range(1 + k % 3)) + "<p>Buy now!</p></article></body>"
+    rows = [(k, f"http://h.org/{k}", page(k)) for k in range(9)] + [(20, "http://one.org/a", page(1)), (21, "http://one.org/b", page(1)), (22, "http://h.org/empty", "")]
+    got = {r.page_id: r.text for r in html_wrapper.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect()}
+    for k in range(9):
+        assert got[k] == f"Head {k} " + " ".join(f"Part {k} {i}" for i in range(1 + k % 3))
+    assert got[20] == got[21] == "Our menu Head 1 All rights belong to us. Part 1 0 Part 1 1 Buy now!" and got[22] == ""
+
+
 def test_masked_lm(spark, docs, texts, empty):
     rng = random.Random(8)
     pairs = spark.createDataFrame([(i, " ".join(f"l{k} r{k}" for k in (rng.randrange(6) for _ in range(150)))) for i in range(200)], "doc_id bigint, text string")
