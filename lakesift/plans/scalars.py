@@ -62,8 +62,17 @@ def bytes_and_digests(spark, sf_dir):
 
 @query("""WITH x AS (SELECT doc_id, rtrim(base64(encode(source || substring(text, 1, 1 + doc_id % 7))), '=') AS packed, source || substring(text, 1, 1 + doc_id % 7) AS raw FROM documents) SELECT doc_id, packed, raw AS unpacked FROM x""")
 def base64_round_trip(spark, sf_dir):
-    """Unpadded base64 there and back."""
-    raw = F.concat("source", F.expr("substring(text, 1, int(1 + doc_id % 7))"))
+    """I11 on short texts: unpadded base64 there and back."""
+    return _there_and_back(spark, sf_dir, F.concat("source", F.expr("substring(text, 1, int(1 + doc_id % 7))")))
+
+
+@query("SELECT doc_id, rtrim(base64(encode(source || text)), '=') AS packed, source || text AS unpacked FROM documents")
+def base64_round_trip_whole(spark, sf_dir):
+    """I11 on whole texts."""
+    return _there_and_back(spark, sf_dir, F.concat("source", "text"))
+
+
+def _there_and_back(spark, sf_dir, raw):
     d = table(spark, sf_dir, "documents").select("doc_id", T.base64_unpadded(raw).alias("packed"))
     return d.select("doc_id", "packed", T.from_base64_unpadded(F.col("packed")).cast("string").alias("unpacked"))
 
@@ -71,8 +80,19 @@ def base64_round_trip(spark, sf_dir):
 @query("""WITH x AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN source || ', ' || lang WHEN 2 THEN 'say "' || lang || '"' ELSE substring(text, 1, 200) END AS v FROM documents)
   SELECT doc_id, CASE WHEN regexp_matches(v, '[,"\r\n]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS field, rtrim(v || chr(32) || chr(9) || chr(13) || chr(10), ' ' || chr(9) || chr(10) || chr(13)) AS trimmed FROM x""")
 def field_text(spark, sf_dir):
-    """CSV quoting and trimming at the end."""
-    v = F.expr("""CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN concat(source, ', ', lang) WHEN 2 THEN concat('say "', lang, '"') ELSE substring(text, 1, 200) END""")
+    """B9, I9, I17 on short texts: CSV quoting and trimming at the end."""
+    return _fields(spark, sf_dir, "substring(text, 1, 200)")
+
+
+@query("""WITH x AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN source || ', ' || lang WHEN 2 THEN 'say "' || lang || '"' ELSE text END AS v FROM documents)
+  SELECT doc_id, CASE WHEN regexp_matches(v, '[,"\r\n]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS field, rtrim(v || chr(32) || chr(9) || chr(13) || chr(10), ' ' || chr(9) || chr(10) || chr(13)) AS trimmed FROM x""")
+def field_text_whole(spark, sf_dir):
+    """B9, I9, I17 on whole texts."""
+    return _fields(spark, sf_dir, "text")
+
+
+def _fields(spark, sf_dir, text):
+    v = F.expr(f"""CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN concat(source, ', ', lang) WHEN 2 THEN concat('say "', lang, '"') ELSE {text} END""")
     return table(spark, sf_dir, "documents").select("doc_id", T.csv_field(v).alias("field"), T.field_trim(F.concat(v, F.lit(" \t\r\n"))).alias("trimmed"))
 
 

@@ -1,5 +1,6 @@
 """Cases with known results: duplicates, times, pages, validators, exports, containers, trees and streams."""
 
+import base64
 import json
 import random
 import struct
@@ -215,3 +216,14 @@ def test_first_difference_wherever_it_is(spark, tmp_path):
     for a, b in pairs:
         where = next((k for k, (x, y) in enumerate(zip(texts[a], texts[b])) if x != y), None)
         assert (got[a].same, got[a].first_difference) == (texts[a] == texts[b], where)
+
+
+def test_whole_texts_are_fields_and_base64(spark, tmp_path):
+    from lakesift.plans import scalars
+
+    long = "plain " * 60 + 'a "quoted", \nlast  '
+    spark.createDataFrame([(3, long, "en", "s"), (7, "no mark " * 50, "en", "s")], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in scalars.field_text_whole(spark, str(tmp_path)).collect()}
+    assert got[3].field == '"' + long.replace('"', '""') + '"' and got[3].trimmed == long.rstrip() and got[7].field == "no mark " * 50
+    got = {r.doc_id: r for r in scalars.base64_round_trip_whole(spark, str(tmp_path)).collect()}
+    assert got[3].unpacked == "s" + long and got[3].packed == base64.b64encode(("s" + long).encode()).decode().rstrip("=")
