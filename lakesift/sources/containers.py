@@ -213,31 +213,44 @@ def heif(r: Reader, start: int, end: int) -> None:
         elif kind == b"iinf":
             version = r.at(body, 1, stop) or b"\0"
             for part, info, close in boxes(r, body + (6 if version == b"\0" else 8), stop):
-                head = r.at(info, 12, close) if part == b"infe" else None
-                if head is not None and head[0] == 2 and head[8:12] == b"Exif":
-                    items.add(struct.unpack(">H", head[4:6])[0])
+                head = r.at(info, 4, close) if part == b"infe" else None
+                if head is None or head[0] < 2:  # without an item type
+                    continue
+                if head[0] > 3:
+                    r.report.issues.append("unsupported_version")
+                    continue
+                wide = 4 if head[0] == 3 else 2
+                entry = r.at(info + 4, wide + 6, close)
+                if entry is not None and entry[wide + 2 :] == b"Exif":
+                    items.add(int.from_bytes(entry[:wide], "big"))
         elif kind == b"iloc":
             head = r.at(body, 8, stop)
-            if head is None or head[0] > 1:
+            if head is None:
+                continue
+            if head[0] > 2:
+                r.report.issues.append("unsupported_version")
                 continue
             sizes = head[4] >> 4, head[4] & 15, head[5] >> 4
-            at = body + 8
-            for _ in range(struct.unpack(">H", head[6:8])[0]):
-                extra = 2 if head[0] == 1 else 0
-                item = r.at(at, 4 + extra + sizes[2] + 2, stop)
+            index = head[5] & 15 if head[0] else 0
+            wide = 4 if head[0] == 2 else 2  # of item numbers and of their count
+            count = r.at(body + 6, wide, stop)
+            at = body + 6 + wide
+            extra = 2 if head[0] else 0
+            for _ in range(0 if count is None else int.from_bytes(count, "big")):
+                item = r.at(at, wide + extra + 2 + sizes[2] + 2, stop)
                 if item is None:
                     break
-                number, extents = struct.unpack(">H", item[:2])[0], struct.unpack(">H", item[-2:])[0]
-                base = int.from_bytes(item[4 + extra : 4 + extra + sizes[2]], "big")
-                construction = item[3] & 15 if extra else 0
+                number, extents = int.from_bytes(item[:wide], "big"), struct.unpack(">H", item[-2:])[0]
+                base = int.from_bytes(item[wide + extra + 2 : -2], "big")
+                construction = item[wide + 1] & 15 if extra else 0
                 at += len(item)
                 for k in range(extents):
-                    extent = r.at(at, sizes[0] + sizes[1], stop)
+                    extent = r.at(at, index + sizes[0] + sizes[1], stop)
                     if extent is None:
                         break
                     at += len(extent)
                     if k == 0 and extents == 1 and construction == 0:
-                        places[number] = (base + int.from_bytes(extent[: sizes[0]], "big"), int.from_bytes(extent[sizes[0] :], "big"))
+                        places[number] = (base + int.from_bytes(extent[index : index + sizes[0]], "big"), int.from_bytes(extent[index + sizes[0] :], "big"))
     for number in sorted(items & set(places)) if picture else ():
         offset, length = places[number]
         head = r.at(offset, 4)

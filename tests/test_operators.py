@@ -227,3 +227,30 @@ def test_whole_texts_are_fields_and_base64(spark, tmp_path):
     assert got[3].field == '"' + long.replace('"', '""') + '"' and got[3].trimmed == long.rstrip() and got[7].field == "no mark " * 50
     got = {r.doc_id: r for r in scalars.base64_round_trip_whole(spark, str(tmp_path)).collect()}
     assert got[3].unpacked == "s" + long and got[3].packed == base64.b64encode(("s" + long).encode()).decode().rstrip("=")
+
+
+def heif_bytes(infe=2, iloc=0, index=0):
+    box = lambda kind, body: struct.pack(">I", len(body) + 8) + kind + body
+    wide, number = (">I" if infe == 3 else ">H"), (">I" if iloc == 2 else ">H")
+    entry = bytes([infe, 0, 0, 0]) + struct.pack(wide, 7) + b"\0\0Exif\0"
+    exif = b"\0\0\0\0" + tiff_bytes()
+
+    def whole(at):
+        item = struct.pack(number, 7) + (b"\0\0" if iloc else b"") + b"\0\0" + b"\0\1" + bytes(index) + struct.pack(">II", at, len(exif))
+        places = bytes([iloc, 0, 0, 0, 0x44, index]) + struct.pack(number, 1) + item
+        meta = b"\0\0\0\0" + box(b"hdlr", bytes(8) + b"pict" + bytes(13)) + box(b"iinf", bytes(4) + b"\0\1" + box(b"infe", entry)) + box(b"iloc", places)
+        return box(b"ftyp", b"heic\0\0\0\0heic") + box(b"meta", meta)
+
+    front = whole(0)
+    return whole(len(front) + 8) + box(b"mdat", exif)
+
+
+def test_heif_versions():
+    want = [(f["kind"], f["raw"]) for f in containers.extract(tiff_bytes()).fields]
+    assert want
+    for infe, iloc, index in ((2, 0, 0), (2, 1, 0), (2, 1, 4), (3, 0, 0), (2, 2, 0), (3, 2, 8)):
+        report = containers.extract(heif_bytes(infe, iloc, index))
+        assert [(f["kind"], f["raw"]) for f in report.fields] == want and not report.issues, (infe, iloc, index)
+    for infe, iloc in ((4, 0), (2, 3)):
+        report = containers.extract(heif_bytes(infe, iloc))
+        assert not report.fields and report.issues == ["unsupported_version"]
