@@ -20,8 +20,14 @@ from lakesift.llm.bpe import slices
 from lakesift.llm.common import store
 
 # Element names by their role in HTML.
-RAW = "script|style|noscript|template|textarea|svg|iframe|title|select|object|canvas|math"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = "script|style|noscript|template|textarea|iframe|title"
+# Elements without article text whose content is markup; where one isn't closed, it ends at the next tag of BLOCK.
+SKIPPED = "svg select object canvas annotation annotation-xml".split()
+BLOCK = "p|div|section|article|main|header|footer|nav|aside|ul|ol|li|dl|dt|dd|table|tbody|thead|tfoot|tr|td|th|h[1-6]|form|fieldset|figure|figcaption|blockquote|pre|address|details|summary|hr|body|html"
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr"
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd semantics".split()
+)
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption figcaption summary legend option tbody thead tfoot colgroup pre".split())
 VOID = frozenset("area base br col embed hr input link meta param source track".split())
 OUTSIDE = frozenset("nav footer aside form button dialog menu head fieldset".split())
@@ -31,8 +37,10 @@ ASIDE_WORDS = frozenset(
     "popup promo promotion recommended related replies reply reviews search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget".split()
 )
 MAIN_WORDS = frozenset("article content entry main post story body text".split())
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_SKIP = "|".join(rf"<{x}(?=[\s/>]){_ATTRIBUTES}>(?:(?:(?!<{x}[\s/>]).)*?</{x}\s*>|.*?(?=</?(?:{BLOCK})\b)|.*)" for x in SKIPPED)
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<({RAW})\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"""
+    rf"""<(?:svg|math)\b{_ATTRIBUTES}(?<=/)>|{_SKIP}|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<({RAW})\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"""
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|([^<]+|<)""",
     re.DOTALL | re.IGNORECASE,
 )

@@ -298,6 +298,17 @@ def test_wrapper(spark, empty):
     assert [n[0] for n in html_wrapper.page_wrapper(tokens, blocks)] == ["t", "+", "t"]
 
 
+def test_unclosed_and_self_closed_elements():
+    blocks = lambda page: [t for t, _ in html_wrapper.page_tokens(page)[1]]
+    assert blocks('<p>a</p><svg class="i"/><p>rest</p>') == ["a", "rest"]
+    for name in ("svg", "select", "object", "canvas"):
+        assert blocks(f"<p>a</p><{name} x='>'>lost<p>rest</p>") == ["a", "rest"]
+        assert blocks(f"<p>a</p><{name}>lost<p>rest</p><{name}>x</{name}><p>end</p>") == ["a", "rest", "end"]
+        assert blocks(f"<p>a <{name}><g>no</g></{name}> b</p><{name}><p>no</p></{name}>") == ["a b"]
+    assert blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds <math/> b</p><p>c</p>") == ["so x=2 holds b", "c"]
+    assert blocks("<p>a</p><script>var x = '<p>no</p>'") == ["a"]
+
+
 def test_wrapper_leaves_out_constant_blocks(spark):
     """Notices in plain elements inside the article, the same on all pages of a host; a host of one page keeps all."""
     page = lambda k: f"<body><article><div>Our menu</div><h1>Head {k}</h1><p>All rights belong to us.</p>" + "".join(f"<p>Part {k} {i}</p>" for i in range(1 + k % 3)) + "<p>Buy now!</p></article></body>"
