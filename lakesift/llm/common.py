@@ -47,6 +47,17 @@ def store(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return out
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for columns that clash with none of ``taken``."""
+    held = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while (name := f"__{name}").lower() in held:
+            pass
+        out.append(name)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now, instead of when the driver next collects its garbage."""
     gc.collect()

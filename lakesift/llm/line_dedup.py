@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import store
+from lakesift.llm.common import discard, fresh, store
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
+COMMON = 4096  # a key of more than this share of rows is common
 
 
 def line_hashes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -26,39 +27,53 @@ def fingerprints(hashed: DataFrame, long_line: int) -> DataFrame:
     A window is three lines in a row, two hashes of neighbouring lines; the smaller is selected (the later,
     if equal). Equal windows select equal hashes wherever they stand, so any run of three lines or more
     that occurs twice shares a fingerprint. A line of ``long_line`` words or more is a window by itself.
-    A window keeps its first line ``i`` (counted among lines with words), its length ``n`` and two hashes.
+    A window keeps its first line ``i`` (counted among lines with words), two hashes ``k`` and ``l``, the numbers of its
+    first line and of the line after it, ``s`` and ``e``, and, of one line only, what stands on either side, ``x``.
     """
     grams = F.expr("transform(sequence(0, greatest(size(ls) - 2, 0)), i -> xxhash64(2, get(ls, i).a, get(ls, i + 1).a))")
     pick = "IF(get(g, {0}) < get(g, {0} + 1), {0}, {0} + 1)"
-    window = "struct({0} AS i, 3 AS n, xxhash64(3, get(ls, {0}).a, get(ls, {0} + 1).a, get(ls, {0} + 2).a) AS k, xxhash64(3, get(ls, {0}).b, get(ls, {0} + 1).b, get(ls, {0} + 2).b) AS l)"
+    beside = "STRUCT<pa: BIGINT, pb: BIGINT, ps: INT, na: BIGINT, nb: BIGINT, ne: INT>"
+    window = f"""struct({{0}} AS i, xxhash64(3, get(ls, {{0}}).a, get(ls, {{0}} + 1).a, get(ls, {{0}} + 2).a) AS k, xxhash64(3, get(ls, {{0}}).b, get(ls, {{0}} + 1).b, get(ls, {{0}} + 2).b) AS l,
+        get(ls, {{0}}).p AS s, coalesce(get(ls, {{0}} + 3).p, lines) AS e, CAST(NULL AS {beside}) AS x)"""
     # Gram s is chosen by window s - 1, by window s, or by both.
     short = f"""IF(size(ls) < 3, array(), filter(transform(sequence(0, size(ls) - 2), s -> struct(get(g, s) AS f, array_compact(array(
         IF(s >= 1 AND {pick.format('(s - 1)')} = s, {window.format('(s - 1)')}, NULL),
         IF(s + 2 < size(ls) AND {pick.format('s')} = s, {window.format('s')}, NULL))) AS ws)), x -> size(x.ws) > 0))"""
-    long = f"filter(transform(ls, (x, i) -> IF(x.w >= {int(long_line)}, struct(xxhash64(1, x.a) AS f, array(struct(i AS i, 1 AS n, xxhash64(1, x.a) AS k, xxhash64(1, x.b) AS l)) AS ws), NULL)), x -> x IS NOT NULL)"
+    long = f"""filter(transform(ls, (x, i) -> IF(x.w >= {int(long_line)}, struct(xxhash64(1, x.a) AS f, array(struct(i AS i, xxhash64(1, x.a) AS k, xxhash64(1, x.b) AS l, x.p AS s, coalesce(get(ls, i + 1).p, lines) AS e,
+        CAST(struct(get(ls, i - 1).a, get(ls, i - 1).b, get(ls, i - 1).p, get(ls, i + 1).a, get(ls, i + 1).b, coalesce(get(ls, i + 2).p, lines)) AS {beside}) AS x)) AS ws), NULL)), x -> x IS NOT NULL)"""
     return hashed.withColumn("g", grams).select("d", "v", F.explode(F.expr(f"concat({short}, {long})")).alias("x")).select("d", "v", "x.f", "x.ws")
 
 
+def _meet(many: DataFrame, total: int, counted: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join with ``counted``, one row for each key of ``many`` with its number of rows ``c``.
+
+    Keys of more than one in ``COMMON`` of all rows are ``COMMON`` at most, so they are broadcast and their rows stay
+    where they are; the rest is shuffled, and no key of it can fill a task.
+    """
+    often = F.col("c") * COMMON > total
+    hot = F.broadcast(counted.filter(often))
+    return many.join(hot.drop("c"), keys, how).unionByName(many.join(hot.select(*keys), keys, "left_anti").join(counted.filter(~often).drop("c"), keys, how))
+
+
 def repeated_runs(hashed: DataFrame, long_line: int) -> DataFrame:
-    """``d``, ``v`` and line numbers ``start`` (kept out) to ``end`` (not included) of every later repeated run."""
+    """``d``, ``v`` and ``runs``: line numbers ``start`` to ``end`` (not included) of the later repeated runs, in order and apart."""
     prints = store(fingerprints(hashed, long_line))
-    often = prints.groupBy("f").agg(F.count("*").alias("c")).filter("c > 1").select("f")
+    often = store(prints.groupBy("f").agg(F.count("*").alias("c")).filter("c > 1"))
     # Positions with the same fingerprint meet; of the windows behind it, the equal ones are copies.
-    windows = store(prints.join(often, "f", "left_semi").select("d", "v", F.explode("ws").alias("x")).select("d", "v", "x.*"))
-    first = windows.groupBy("k", "l").agg(F.min(F.struct("d", "v", "i")).alias("o"), F.count("*").alias("c")).filter("c > 1").select("k", "l", "o")
-    seeds = windows.join(first, ["k", "l"]).filter(F.struct("d", "v", "i") > F.col("o"))
-    seeds = seeds.select("d", "v", F.col("o.d").alias("d0"), F.col("o.v").alias("v0"), (F.col("i") - F.col("o.i")).alias("shift"), "i").distinct()
-    beside = Window.partitionBy("d", "v", "d0", "v0", "shift").orderBy("i")
-    seeds = seeds.withColumn("last", F.lag("i").over(beside)).filter("last IS NULL OR last < i - 1").drop("last")
-    # Extend each match both ways, up to the next line that differs or isn't earlier in its copy.
-    mine = hashed.select("d", "v", "ls", "lines")
-    theirs = hashed.select(F.col("d").alias("d0"), F.col("v").alias("v0"), F.expr("transform(ls, x -> struct(x.a AS a, x.b AS b))").alias("other"))
-    both = seeds.join(mine, ["d", "v"]).join(theirs, ["d0", "v0"])
-    differs = """filter(sequence(-1, size(ls)), j -> j < 0 OR j >= size(ls) OR j - shift < 0 OR j - shift >= size(other)
-        OR NOT (get(ls, j).a <=> get(other, j - shift).a AND get(ls, j).b <=> get(other, j - shift).b))"""
-    both = both.withColumn("stop", F.expr(differs))
-    both = both.withColumn("x", F.expr("array_max(filter(stop, j -> j < i)) + 1")).withColumn("y", F.expr("array_min(filter(stop, j -> j > i))"))
-    return both.select("d", "v", F.expr("get(ls, x).p").alias("start"), F.expr("coalesce(get(ls, y).p, lines)").alias("end"))
+    windows = store(_meet(prints, prints.count(), often, ["f"], "left_semi").select("d", "v", F.explode("ws").alias("w")).select("d", "v", "w.*"))
+    discard(prints)
+    discard(often)
+    first = store(windows.groupBy("k", "l").agg(F.min(F.struct("d", "v", "i", "x")).alias("o"), F.count("*").alias("c")).filter("c > 1"))
+    matches = _meet(windows, windows.count(), first, ["k", "l"], "inner").filter("struct(d, v, i) > struct(o.d, o.v, o.i)")
+    # Extend each match both ways. Every window of a run of three lines is itself a match, and they grow together below;
+    # what is left to compare is the line on either side of a match of one line.
+    before, after = "x.pa = o.x.pa AND x.pb = o.x.pb", "x.na = o.x.na AND x.nb = o.x.nb"
+    grown = matches.select("d", "v", F.expr(f"IF({before}, x.ps, s)").alias("start"), F.expr(f"IF({after}, x.ne, e)").alias("end"))
+    mine = Window.partitionBy("d", "v").orderBy("start", "end")
+    grown = grown.withColumn("reach", F.max("end").over(mine.rowsBetween(Window.unboundedPreceding, -1)))
+    grown = grown.withColumn("island", F.count(F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1)).over(mine.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = grown.groupBy("d", "v", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return islands.groupBy("d", "v").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
 def line_dedup(docs: DataFrame, *, text: str = "text", long_line: int = 25) -> DataFrame:
@@ -71,23 +86,25 @@ def line_dedup(docs: DataFrame, *, text: str = "text", long_line: int = 25) -> D
     it is among the columns.
 
     Null and empty texts, and rows without a doc_id, stay as they are. Rows that share doc_id and text are one document
-    and get the same result. Columns ``n_lines`` and ``n_deleted`` of the input are replaced.
+    and get the same result; an empty table gives none. Work grows with the number of lines, also of a text that only
+    repeats itself; a document's lines must fit in a task. Columns ``n_lines`` and ``n_deleted`` of the input are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     t = f"`{text}`"
-    runs = repeated_runs(store(line_hashes(docs, text)), long_line)
-    runs = runs.groupBy(F.col("d").alias("__run_d"), F.col("v").alias("__run_v")).agg(F.collect_set(F.struct("start", "end")).alias("__runs"))
-    keyed = docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("__v", F.xxhash64(t))
-    out = keyed.join(runs.hint("shuffle_hash"), (F.col("doc_id") == F.col("__run_d")) & (F.col("__v") == F.col("__run_v")), "left")
-    kept = F.expr(f"filter(split({t}, '\\n'), (x, i) -> NOT exists(__runs, r -> i >= r.start AND i < r.end))")
-    lines = F.when(F.col(t).isNull(), 0).otherwise(F.size(F.split(F.col(t), "\n")))
-    out = out.withColumn("__kept", F.when(F.col("__runs").isNotNull(), kept)).withColumn("n_lines", lines.cast("bigint"))
-    out = out.withColumn("n_deleted", F.when(F.col("__kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")).cast("bigint"))
-    new = F.when(F.col("__kept").isNull(), F.col(t)).otherwise(F.array_join("__kept", "\n"))
-    out = out.withColumn(text, new)
+    d, v, r = fresh(docs.columns, "run_d", "run_v", "runs")
+    runs = repeated_runs(store(line_hashes(docs, text)), long_line).toDF(d, v, r)
+    rows = docs.select(*(F.col(f"`{c}`") for c in names))
+    out = rows.join(runs.hint("shuffle_hash"), (F.col("doc_id") == F.col(d)) & (F.xxhash64(t) == F.col(v)), "left")
+    # Stretches between the runs; the text is split once.
+    kept = F.expr(f"""get(transform(array(struct(split({t}, '\n') AS lines, {r} AS runs)), z -> array_join(flatten(transform(sequence(0, size(z.runs)), j ->
+        slice(z.lines, IF(j = 0, 0, get(z.runs, j - 1).end) + 1, IF(j = size(z.runs), size(z.lines), get(z.runs, j).start) - IF(j = 0, 0, get(z.runs, j - 1).end)))), '\n')), 0)""")
+    new = F.when(F.col(r).isNull(), F.col(t)).otherwise(kept)
+    n_lines = F.when(F.col(t).isNull(), 0).otherwise(F.size(F.split(F.col(t), "\n"))).cast("bigint")
+    n_deleted = F.coalesce(F.expr(f"aggregate({r}, 0, (n, x) -> n + x.end - x.start)"), F.lit(0)).cast("bigint")
+    out = out.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in names), n_lines.alias("n_lines"), n_deleted.alias("n_deleted"))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length(t)).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*(F.col(f"`{c}`") for c in names), "n_lines", "n_deleted")
+        out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length(t)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return out
 
 
 #: DuckDB: the same rows as the query, from the texts of the lines instead of hashes.

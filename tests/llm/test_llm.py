@@ -402,3 +402,15 @@ def test_queries_are_registered():
     from lakesift.llm import queries
 
     assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+
+
+def test_line_dedup_of_a_text_that_repeats_itself(spark):
+    """Work stays in proportion to the lines, whatever the period; a window of all documents is no hot key."""
+    rng = random.Random(17)
+    one, three = ["word " * 3] * 200_000, ["a b c", "d e f", "g h i"] * 60_000
+    rows = [(0, "\n".join(one)), (1, "\n".join(three)), (2, "\n".join(["x y", *three[:9], "", "z"]))]
+    rows += [(10 + k, "\n".join([f"own {k}", "same one", "same two", "same three", f"tail {k} {rng.random()}"])) for k in range(500)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0].text == one[0] and got[0].n_deleted == 199_999
+    assert got[1].text == "\n".join(three[:3]) and got[2].text == "x y\nz"
+    assert got[10].n_deleted == 0 and all(got[10 + k].n_deleted == 3 for k in range(1, 500))
