@@ -118,6 +118,12 @@ class Codec:
             out.append(self.young.get(found) or self._piece(found))
         return b"".join(out)
 
+    def count(self, text: str | None) -> int:
+        """Number of ids of the text."""
+        if not text:
+            return 0
+        return sum([len(self.young.get(found) or self._piece(found)) for found in self.findall(text)]) >> 2
+
     def decode(self, ids: bytes) -> bytes:
         table = self.table
         return b"".join([table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])

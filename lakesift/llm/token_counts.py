@@ -9,28 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesift.llm.bpe import default_pattern, default_vocabulary, slices
+from lakesift.llm.bpe import codec, default_pattern, default_vocabulary, slices
 from lakesift.llm.common import store
 
-_ENCODERS: dict[bytes, object] = {}
-
-
-def _encoder(vocabulary: bytes, pattern: str):
-    import base64
-
-    import tiktoken
-
-    if vocabulary not in _ENCODERS:
-        _ENCODERS.clear()
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-        _ENCODERS[vocabulary] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[vocabulary]
-
 
 def token_lengths(docs: DataFrame, *, keep: list[str] | None = None, vocabulary: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
     """``keep`` (default: all other columns) and ``n_tokens``, the encoded length of each whole text.
 
-    Null and empty texts have length 0. A column ``n_tokens`` of the input is replaced.
+    Null and empty texts have length 0. A text of any length is encoded whole, also one long run of white space or letters.
+    Repeated rows give repeated results, an empty table none. A column ``n_tokens`` of the input is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Path(vocabulary or default_vocabulary()).read_bytes())  # a file of under 1 MB
     pattern = pattern or default_pattern()
@@ -38,10 +25,10 @@ def token_lengths(docs: DataFrame, *, keep: list[str] | None = None, vocabulary:
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(sent.value, pattern).encode_ordinary
+        count = codec(sent.value, pattern).count
         for batch in batches:
             for part in slices(batch, batch.num_columns - 1):
-                counts = [len(encode(t)) if t else 0 for t in part.column(part.num_columns - 1).to_pylist()]
+                counts = [count(t) for t in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(counts, pa.int64())], [*names, "n_tokens"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "n_tokens bigint"])
