@@ -20,7 +20,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "fit_level")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "fit_rows")
+
+
+def base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2 that SQL can express."""
+    stats = quality_rules.statistics(_table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("base_failed", quality_rules.base_failed())
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +63,8 @@ def op10_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_ngram_jaccard, op4_decontamination, op5_byte_bpe, op6_masked_lm, op7_line_dedup, op8_toxicity, op9_quality, op10_html_wrapper)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, base_statistics, op3_ngram_jaccard, op4_decontamination, op5_byte_bpe, op6_masked_lm, op7_line_dedup, op8_toxicity, op9_quality, op10_html_wrapper)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": ngram_join.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+    return {"base_statistics": quality_rules.BASE, "op3_ngram_jaccard": ngram_join.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op7_line_dedup": line_dedup.ORACLE}

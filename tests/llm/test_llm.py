@@ -87,6 +87,21 @@ def test_length_histogram(spark, empty):
     assert token_counts.length_histogram(token_counts.token_lengths(empty, keep=[])).count() == 0
 
 
+def test_token_lengths(spark, docs, texts):
+    """Equal to the library where it can encode at all; very long runs of one kind end."""
+    ranks = bpe.Codec(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN).ranks
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = token_counts.token_lengths(docs)
+    assert out.columns.count("n_tokens") == 1 and set(out.columns) == set(docs.columns)
+    assert Counter((r.text, r.n_tokens) for r in out.collect()) == Counter((t, len(other.encode_ordinary(t or ""))) for t in texts)
+    rng = random.Random(4)
+    long = [" " * 2_000_000, "\n" * 1_000_000, "".join(rng.choices("abcdefghij", k=1_000_000)), ("some text " * 10 + "\n") * 20_000]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_lengths(spark.createDataFrame(list(enumerate(long)), "doc_id bigint, text string")).collect()}
+    tool = bpe.Codec(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+    assert got[3] == len(other.encode_ordinary(long[3])) and all(0 < got[k] <= len(long[k]) for k in range(3))
+    assert got[0] == len(tool.encode(long[0])) // 4 and tool.decode(tool.encode(long[1])) == long[1].encode()
+
+
 def stats_by_hand(t):
     w = word_list(t)
     tri = Counter(zip(w, w[1:], w[2:]))
@@ -106,15 +121,55 @@ def test_quality_rules(spark, docs, texts, empty):
     assert quality_rules.quality_rules(empty).count() == 0
     real, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     good = quality_rules.quality_rules(real, keep=["doc_id"]).join(labels, "doc_id").filter("NOT base_failed").groupBy("quality", "kept").count().collect()
-    assert {(r.quality, r.kept) for r in good} <= {(1, True), (0, False), (0, True)}
-
-
-def test_covariance_ignores_outliers():
+    share = {(q, k): sum(r["count"] for r in good if (r.quality, r.kept) == (q, k)) for q in (0, 1) for k in (True, False)}
+    assert share[1, False] <= 0.01 * share[1, True] and share[0, True] <= 0.1 * share[0, False]  # the distance alone tells them apart
+
+
+def mcd_by_hand(x, ridge, rng, starts=60):
+    """Rows of the least determinant found by many random starts, each with steps to its end."""
+    n, p = x.shape
+    need, best = int(np.ceil(quality_rules.SHARE * n)), None
+    for _ in range(starts):
+        chosen = rng.permutation(n)[: p + 1]
+        for _ in range(40):
+            mean, cov = x[chosen].mean(axis=0), np.cov(x[chosen].T, bias=True) + ridge
+            away = x - mean
+            chosen = np.argsort(np.einsum("ij,ij->i", away @ np.linalg.inv(cov), away))[:need]
+        mean, cov = x[chosen].mean(axis=0), np.cov(x[chosen].T, bias=True)
+        det = np.linalg.slogdet(cov + ridge)[1]
+        best = min(best, (det, mean.tolist(), cov.tolist())) if best else (det, mean.tolist(), cov.tolist())
+    return best[0], np.array(best[1]), np.array(best[2])
+
+
+def test_minimum_covariance_determinant(spark):
+    """Small groups, some of them with a third of outliers, against random starts on single rows."""
     rng = np.random.default_rng(3)
-    x = np.vstack([rng.normal(0, 1, (900, quality_rules.P)), rng.normal(20, 1, (100, quality_rules.P))])
-    mean, cov = quality_rules.minimum_covariance_determinant(np.ones(1000), x, x[:, :, None] * x[:, None, :])
-    assert np.abs(mean).max() < 0.3 and np.diag(cov).max() < 2
-    assert abs(quality_rules._chi2(quality_rules.chi2_quantile(0.99), 6) - 0.99) < 1e-9
+    rows, want = [], {}
+    for g, (n, bad) in enumerate(((40, 0), (60, 12), (150, 30), (6, 1))):
+        mix = rng.normal(0, 1, (3, 3))
+        for k in range(n):
+            a, b, c = rng.normal(0, 0.3, 3) @ mix
+            words = int(np.exp(5.5 + a))
+            out = k < bad
+            rows.append(("en", f"s{g}", words, int(words * (9 if out else 5) * np.exp(0.1 * b)), 0, 0, 0, int(words * 0.08), int(words * (0.9 if out else 0.15) * np.exp(0.2 * c)), max(1, int(words * (0.4 if out else 0.7) * np.exp(0.05 * a)))))
+    stats = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{c} bigint" for c in quality_rules.STATS))
+    fitted = {r["at"]: r for r in quality_rules.fit(stats.repartition(3)).collect()}
+    assert len(fitted) == 4 + 1 + 1
+    x = np.array(stats.filter(~quality_rules.base_failed()).selectExpr(*quality_rules.FEATURES).collect())
+    source = [r.source for r in stats.filter(~quality_rules.base_failed()).collect()]
+    ridge = np.diag(quality_rules.RIDGE * x.var(axis=0))
+    factor = quality_rules.SHARE / quality_rules.chi2(quality_rules.chi2_quantile(quality_rules.SHARE), quality_rules.P + 2)
+    for g in range(3):
+        own = x[np.array(source) == f"s{g}"]
+        det, mean, cov = mcd_by_hand(own, ridge, rng)
+        r = fitted[f'{{"level":0,"lang":"en","source":"s{g}"}}']
+        mine = (quality_rules._square(r["cov"]) - ridge) / factor
+        assert r.n == len(own) and np.linalg.slogdet(mine + ridge)[1] < det + 0.1
+        assert np.abs(np.array(r["mean"]) - mean).max() < 0.5 * np.sqrt(np.diag(cov)).max()
+    verdict = quality_rules.estimates(stats).collect()
+    assert {r["__source"]: r.fit_rows for r in verdict} == Counter(source)
+    for share, dof, value in ((0.99, 5, 15.0863), (0.75, 6, 7.8408), (0.5, 1, 0.4549)):
+        assert abs(quality_rules.chi2_quantile(share, dof) - value) < 1e-3
 
 
 def components_by_hand(items):
