@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.labelled import Features, fold, logistic, score_documents, training_rows
+from lakesift.llm.labelled import Features, fold, logistic, score_documents, train
 
 BITS = 18
 _LOWER, _UPPER, _DIGIT = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[0-9]+")
@@ -94,13 +94,13 @@ def _score(model: LinearModel, text: bytes | None) -> float:
     return logistic(model.margin(ngrams(text)))
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", folds: int = 3, held_out: int = 1, per_class: int = 5000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", folds: int = 3, held_out: int = 1, per_class: int = 5000, most_terms: int = 4_000_000) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` for each row of ``docs``.
 
-    Learns from at most ``per_class`` labelled rows of either class outside the held-out fold (crc32 of doc_id as text
-    modulo ``folds``); a document's score depends on its text alone, all of it. Null and empty texts get the
+    Learns from at most ``per_class`` labelled rows of either class, with about ``most_terms`` features together, outside the
+    held-out fold (crc32 of doc_id as text modulo ``folds``); a document's score depends on its text alone, all of it. Null and empty texts get the
     score of no n-grams. Without labels every score is 0.5. Null ids aren't held out. Repeated rows get equal scores.
     """
-    rows, y = training_rows(docs, labels, "quality", fold(F.col("doc_id"), folds) != held_out, per_class, ngrams, text)
-    out = score_documents(docs, fit(rows, y), _score, keep=["doc_id"], text=text)
+    model = train(docs, labels, "quality", fold(F.col("doc_id"), folds) != held_out, per_class, most_terms, ngrams, fit, text)
+    out = score_documents(docs, model, _score, keep=["doc_id"], text=text)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.labelled import Features, fold, logistic, score_documents, training_rows
+from lakesift.llm.labelled import Features, fold, logistic, score_documents, train
 
 BITS = 18
 _TRIM = b".,;:!?\"'()[]{}<>|#*$%&-_~`/\\=+^@"
@@ -104,13 +104,13 @@ def _score(model: FactorizationMachine, text: bytes | None) -> float:
     return logistic(model.margin(terms(text)[0]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", folds: int = 5, held_out: int = 0, per_class: int = 6000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", folds: int = 5, held_out: int = 0, per_class: int = 6000, most_terms: int = 4_000_000) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` for each row of ``docs``.
 
-    Learns from at most ``per_class`` labelled rows of either class outside the held-out fold (crc32 of doc_id as text
-    modulo ``folds``); a document's score depends on its text alone. Null and empty texts get the score of no
+    Learns from at most ``per_class`` labelled rows of either class, with about ``most_terms`` features together, outside the
+    held-out fold (crc32 of doc_id as text modulo ``folds``); a document's score depends on its text alone. Null and empty texts get the score of no
     terms. Without labels every score is 0.5. Null ids aren't held out. Repeated rows get equal scores.
     """
-    rows, y = training_rows(docs, labels, "toxic", fold(F.col("doc_id"), folds) != held_out, per_class, terms, text)
-    out = score_documents(docs, fit(rows, y), _score, keep=["doc_id"], text=text)
+    model = train(docs, labels, "toxic", fold(F.col("doc_id"), folds) != held_out, per_class, most_terms, terms, fit, text)
+    out = score_documents(docs, model, _score, keep=["doc_id"], text=text)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", "predicted")

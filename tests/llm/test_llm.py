@@ -331,6 +331,53 @@ def test_interactions_of_terms_common_in_both_classes():
     assert np.mean(np.array(says) == np.array(y, bool)) > 0.97
 
 
+def test_factorization_machine_by_hand():
+    """The margin against a double loop over pairs; a step of training lowers the loss of its text."""
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 50, 12)).astype(np.int32), None) for _ in range(60)]
+    model = toxicity.fit(rows, (rng.random(60) < 0.5).astype(float), epochs=2)
+    for at, _ in rows:
+        k = [int(model.place[a]) for a in at if model.place[a] >= 0]
+        pairs = sum(float(model.factors[a] @ model.factors[b]) for i, a in enumerate(k) for b in k[i + 1 :])
+        assert abs(model.margin(at) - (model.bias + sum(float(model.weight[a]) for a in k) + pairs / max(1, len(k)))) < 1e-5
+
+
+def test_regularised_leader_by_hand():
+    """Against the published update, one coordinate at a time in dictionaries."""
+    rng = np.random.default_rng(7)
+    rows = [(np.unique(rng.integers(0, 30, 6)).astype(np.int32),) for _ in range(40)]
+    rows = [(i, rng.random(len(i)).astype(np.float32)) for (i,) in rows]
+    y = np.array([k % 2 for k in range(40)], float)
+    model = quality_model.fit(rows, y, epochs=2)
+    z, n, bias, order = Counter(), Counter(), 1 << quality_model.BITS, np.random.default_rng(9)
+
+    def leader(k):
+        l1 = 0 if k == bias else 0.05
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - np.sign(z[k]) * l1) / (1 + n[k] ** 0.5 + 0.5)
+
+    for _ in range(2):
+        for r in order.permutation(40):
+            x = {**dict(zip(rows[r][0].tolist(), rows[r][1].tolist())), bias: 1.0}
+            w = {k: leader(k) for k in x}
+            p = 1 / (1 + np.exp(-sum(w[k] * x[k] for k in x)))
+            for k in x:
+                g = (p - y[r]) * x[k]
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) * w[k]
+                n[k] += g * g
+    assert abs(model.bias - leader(bias)) < 1e-6 and max(abs(model.weight[k] - leader(k)) for k in range(30)) < 1e-6
+
+
+def test_training_rows_are_bounded(spark):
+    """The rows of least hash, as long as their features together stay within the bound."""
+    rows = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(10))) for i in range(200)] + [(7, "again")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (5, None), (6, 3)], "doc_id bigint, y int")
+    fit = lambda rows, y: (len(rows), float(np.sum(y)), sum(len(r[0]) for r in rows))
+    run = lambda per_class, most: labelled.train(rows, labels, "y", F.lit(True), per_class, most, toxicity.terms, fit)
+    assert run(1000, 10**9)[:2] == (201, 101.0) and run(30, 10**9)[0] in (60, 61)
+    n, _, terms = run(1000, 500)
+    assert 0 < terms <= 1000 and n < 100 and run(0, 10) == (0, 0.0, 0)
+
+
 def test_fold(spark):
     got = spark.range(50).select("id", labelled.fold(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
