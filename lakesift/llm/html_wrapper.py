@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-import difflib
 import html
-import json
 import re
-from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm.bpe import slices
-from lakesift.llm.common import store
+from lakesift.llm.common import fresh, store
 
 # Element names by their role in HTML.
-RAW = "script|style|noscript|template|textarea|iframe|title"
-# Elements without article text whose content is markup; where one isn't closed, it ends at the next tag of BLOCK.
-SKIPPED = "svg select object canvas annotation annotation-xml".split()
-BLOCK = "p|div|section|article|main|header|footer|nav|aside|ul|ol|li|dl|dt|dd|table|tbody|thead|tfoot|tr|td|th|h[1-6]|form|fieldset|figure|figcaption|blockquote|pre|address|details|summary|hr|body|html"
+RAW = "script|style"
+# Elements without article text whose content may be markup; where one isn't closed, it ends at the next tag of BLOCK.
+SKIPPED = "noscript template textarea iframe title svg select object canvas annotation annotation-xml".split()
+BLOCK = "p|div|section|article|main|header|footer|nav|aside|ul|ol|li|dl|dt|dd|table|tbody|thead|tfoot|tr|td|th|h[1-6]|form|fieldset|figure|figcaption|blockquote|pre|address|details|summary|hr|body|html|head"
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr"
     " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd semantics".split()
@@ -31,60 +27,141 @@ INLINE = frozenset(
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption figcaption summary legend option tbody thead tfoot colgroup pre".split())
 VOID = frozenset("area base br col embed hr input link meta param source track".split())
 OUTSIDE = frozenset("nav footer aside form button dialog menu head fieldset".split())
-# Words of class, id and role that mark what isn't the article.
+# Which open elements a start tag ends, and what they must lie in.
+ENDS = {
+    "body": (("head",), ()), "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("datalist",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)), **{x: (("thead", "tbody", "tfoot"), ("table",)) for x in ("thead", "tbody", "tfoot")},
+}
+# Words of class, id and role that mark what isn't the article, and words that may stand beside them.
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer form header links login masthead menu modal nav navbar navigation newsletter notice notices pagination "
+    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer header links login masthead menu modal nav navbar navigation newsletter notice notices pagination "
     "popup promo promotion recommended related replies reply reviews search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget".split()
 )
+BESIDE_WORDS = frozenset(
+    "area articles author bar block body bottom box button buttons col column container content count date entry form global group header head holder icon icons id inline inner item items js label left link list local main meta middle "
+    "news nested outer page panel parent child posts primary right row secondary section side single site slot small sticky stories story strip text thread title top unit user wrap wrapper".split()
+)
 MAIN_WORDS = frozenset("article content entry main post story body text".split())
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _SKIP = "|".join(rf"<{x}(?=[\s/>]){_ATTRIBUTES}>(?:(?:(?!<{x}[\s/>]).)*?</{x}\s*>|.*?(?=</?(?:{BLOCK})\b)|.*)" for x in SKIPPED)
 _TOKEN = re.compile(
-    rf"""<(?:svg|math)\b{_ATTRIBUTES}(?<=/)>|{_SKIP}|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<({RAW})\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|([^<]+|<)""",
+    rf"""<(?:{RAW}|math|{'|'.join(SKIPPED)})(?:\s{_ATTRIBUTES})?(?<![=\w-]/)(?<=/)>|<(?:{RAW}|math|{'|'.join(SKIPPED)})/>|{_SKIP}|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<({RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"""
+    rf"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|([^<]+|<)""",
     re.DOTALL | re.IGNORECASE,
 )
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=>/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+_MAYBE = re.compile(r"class|id=|role|hidden|display", re.IGNORECASE)
+_WORDS = re.compile(r"[a-z]+")
+
+ARTICLE, MARKED, CONTAINER = 2, 1, 0  # how a host's article is found
+
+
+class _Labels(dict):
+    """(label, marked as not the article, marked as the article) of an element's name and attributes."""
+
+    def __missing__(self, key: tuple[str, str]) -> tuple[str, bool, bool]:
+        name, attributes = key
+        words: set[str] = set()
+        aside = bool(_HIDDEN.search(attributes)) if attributes else False
+        for m in _HINT.finditer(attributes):
+            for one in (m[1] or m[2] or m[3] or "").split():
+                own = set(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", one).lower()))
+                aside = aside or (bool(own & ASIDE_WORDS) and own <= ASIDE_WORDS | BESIDE_WORDS)
+                words |= own
+        if len(self) > 100_000:
+            self.clear()
+        value = self[key] = (".".join([name, *sorted(words)]) + "!" * aside, aside, bool(words & MAIN_WORDS))
+        return value
+
+
+class _Nodes(dict):
+    """Id of an element below another, by their labels: equal for equal paths from the root."""
+
+    def __missing__(self, key: tuple[int, str]) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        value = self[key] = xxhash.xxh3_64_intdigest(f"{key[0]} {key[1]}") - (1 << 63)
+        return value
+
+
+_LABELS, _NODES = _Labels(), _Nodes()
+
 
+@dataclass(slots=True)
+class Element:
+    """An open element: its place in the wrapper, and what follows from the elements around it."""
 
-def _label(name: str, attributes: str) -> str:
-    """Element name with the words of its class, id and role, numbers left out."""
-    if "=" not in attributes and "hidden" not in attributes:
-        return name
-    words = {w for m in _HINT.finditer(attributes) for w in re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[1] or m[2] or m[3] or "").lower())}
-    if _HIDDEN.search(attributes):
-        words.add("modal")
-    return ".".join([name, *sorted(words)])
+    name: str
+    node: int
+    open: bool = True  # may hold article text
+    inside: bool = False  # of article or main
+    marked: bool = False  # as article by its words
+    container: int = 0  # nearest element that isn't a leaf
+    within: bool = False  # the element asked for
+    inline: int = 0  # opened as an inline element, with this many of its name in it
+    children: dict[int, int] | None = None
 
 
-def block_key(leaf: str, block: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{leaf}\n{block}") - (1 << 63)
+@dataclass(slots=True)
+class Block:
+    """A text slot's content."""
 
+    text: str
+    linked: int  # characters in links
+    at: Element
 
-def page_tokens(page: str | None, constant: frozenset[int] = frozenset()) -> tuple[list[str], list[tuple[str, int]]]:
-    """Token stream of a page and, for its ``#`` tokens in order, each block's text and characters in links.
+    def key(self) -> int:
+        return xxhash.xxh3_64_intdigest(f"{self.at.node}\n{self.text}") - (1 << 63)
 
-    Tokens are ``<label`` and ``/name`` of elements that hold blocks and ``#label`` for a block of text in a leaf such as
-    ``p``; inline elements are part of the text. Comments, scripts and styles give nothing. A block whose key is in
-    ``constant`` belongs to the template: its token ``=key`` stands for its string, and it is no slot.
+
+def parse(page: str | None, container: int | None = None, nodes: dict[int, list] | None = None) -> list[Block]:
+    """Blocks of text of a page in order; inline elements are part of the text. Comments, scripts and styles give nothing.
+
+    ``nodes`` collects [parent, label, most times in one parent, position] of each place in the page's tree.
+    One pass over the page, whatever its length.
     """
-    tokens: list[str] = []
-    texts: list[tuple[str, int]] = []
-    parts: list[str] = []
-    leaf, linked, in_link = "", 0, False
+    stack, blocks, parts = [Element("", 0, within=container == 0)], [], []
+    opened: dict[str, int] = {}
+    linked, in_link = 0, False
 
     def flush() -> None:
         nonlocal linked
-        block = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
-        if block and constant and (key := block_key(leaf, block)) in constant:
-            tokens.append(f"={key}")
-        elif block:
-            tokens.append("#" + leaf)
-            texts.append((block, min(linked, len(block))))
+        if parts:
+            text = " ".join(html.unescape("".join(parts)).split())
+            parts.clear()
+            if text:
+                blocks.append(Block(text, min(linked, len(text)), stack[-1]))
         linked = 0
 
+    def push(name: str, attributes: str, inline: bool = False) -> None:
+        label, aside, main = _LABELS[name, attributes]
+        up = stack[-1]
+        node = _NODES[up.node, label]
+        plain = name in ("html", "body", "article", "main")
+        outside = name in OUTSIDE or (name == "header" and not up.inside) or (aside and not plain)
+        inside = up.inside or name in ("article", "main")
+        here = Element(name, node, up.open and not outside, inside, up.marked or (main and name not in ("html", "body")), up.container if name in LEAF or inline else node, up.within or node == container, int(inline))
+        if nodes is not None:
+            up.children = up.children or {}
+            times = up.children[node] = up.children.get(node, 0) + 1
+            known = nodes.setdefault(node, [up.node, label, 1, len(nodes)])
+            known[2] = max(known[2], times)
+        stack.append(here)
+        opened[name] = opened.get(name, 0) + 1
+
+    def pop(name: str, barriers: tuple[str, ...] = ()) -> None:
+        if not opened.get(name):
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].name == name:
+                for gone in stack[k:]:
+                    opened[gone.name] -= 1
+                del stack[k:]
+                return
+            if stack[k].name in barriers:
+                return
+
     for m in _TOKEN.finditer(page or ""):
         text = m[8]
         if text is not None:
@@ -97,221 +174,54 @@ def page_tokens(page: str | None, constant: frozenset[int] = frozenset()) -> tup
         name, closing, attributes = name.lower(), m[2] or m[5], m[4] or m[7] or ""
         if name in INLINE:
             in_link = not closing if name == "a" else in_link
+            top = stack[-1]
+            if top.inline and top.name == name:
+                top.inline += -1 if closing else 1
+                if not top.inline:
+                    flush()
+                    pop(name)
+            elif not closing and _MAYBE.search(attributes) and not attributes.endswith("/") and name != "img" and _LABELS[name, attributes][1]:
+                flush()
+                push(name, attributes, inline=True)
         elif name in VOID:
             if name in ("br", "hr"):
                 parts.append(" ")
-        elif name in LEAF:
-            flush()
-            leaf = "" if closing else _label(name, attributes)
         else:
             flush()
-            leaf = ""
-            if not attributes.endswith("/"):
-                tokens.append("/" + name if closing else "<" + _label(name, attributes))
-    flush()
-    return tokens, texts
-
-
-# A wrapper is a list of nodes: ["t", token], ["#", leaf, blocks, chars, link chars], ["+", nodes], ["?", nodes].
-
-
-def core(node: list) -> str:
-    """What a node matches, regardless of whether it is optional or repeated."""
-    if node[0] == "t":
-        return node[1]
-    if node[0] == "#":
-        return "#" + node[1]
-    return " ".join(map(core, node[1]))
-
-
-def _combine(a: list, b: list) -> list:
-    """Both nodes have the same core."""
-    if a[0] == "#" and b[0] == "#":
-        return ["#", a[1], a[2] + b[2], a[3] + b[3], a[4] + b[4]]
-    if a[0] == "t" and b[0] == "t":
-        return a
-    inner = [x[1] if x[0] in "+?" else [x] for x in (a, b)]
-    kinds = {x[0] for x in (a, b) if x[0] in "+?"}
-    for k in range(2):  # a group in a group of the other kind
-        while len(inner[k]) == 1 and inner[k][0][0] in "+?":
-            kinds.add(inner[k][0][0])
-            inner[k] = inner[k][0][1]
-    same = [core(x) for x in inner[0]] == [core(x) for x in inner[1]]
-    nodes = [_combine(x, y) for x, y in zip(*inner)] if same else align(*inner)
-    out = ["+", nodes] if "+" in kinds else None
-    return (["?", [out]] if out else ["?", nodes]) if "?" in kinds else out
-
-
-def repeats(nodes: list, longest: int = 12) -> list:
-    """Turn equal neighbouring stretches into repeated groups, shortest first."""
-    for length in range(1, longest + 1):
-        i, out, keys = 0, [], [core(n) for n in nodes]
-        while i < len(nodes):
-            j = i + length
-            if j + length <= len(nodes) and keys[i:j] == keys[j : j + length] and _balanced(keys[i:j]):
-                body = nodes[i:j]
-                while keys[i : i + length] == keys[j : j + length]:
-                    body = [_combine(x, y) for x, y in zip(body, nodes[j : j + length])]
-                    j += length
-                out.append(body[0] if length == 1 and body[0][0] == "+" else ["+", body])
-                i = j
-            else:
-                out.append(nodes[i])
-                i += 1
-        nodes = out
-    return nodes
-
-
-def _balanced(keys: list[str]) -> bool:
-    depth = 0
-    for key in " ".join(keys).split(" "):
-        depth += key.startswith("<") - key.startswith("/")
-        if depth < 0:
-            return False
-    return depth == 0
-
-
-def _group_like(nodes: list, other: list) -> list:
-    """Wrap plain stretches of ``nodes`` that equal a longer group of ``other``, so that the two align."""
-    for body in sorted((n[1] for n in other if n[0] in "+?" and len(n[1]) > 1), key=len, reverse=True):
-        want, i, out, keys = [core(x) for x in body], 0, [], [core(n) for n in nodes]
-        while i < len(nodes):
-            if keys[i : i + len(want)] == want:
-                out.append(["+", nodes[i : i + len(want)]])
-                i += len(want)
+            if closing:
+                pop(name)
             else:
-                out.append(nodes[i])
-                i += 1
-        nodes = out
-    return nodes
-
-
-def align(a: list, b: list) -> list:
-    """One wrapper for all that either matches: equal parts stay, parts of one side only become optional."""
-    x, y = [core(n) for n in a], [core(n) for n in b]
-    if x != y:
-        a, b = _group_like(a, b), _group_like(b, a)
-        x, y = [core(n) for n in a], [core(n) for n in b]
-    if x == y:
-        return [_combine(p, q) for p, q in zip(a, b)]
-    out = []
-    for kind, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += [_combine(p, q) for p, q in zip(a[i:j], b[k:m])]
-        else:
-            out += [part[0] if len(part) == 1 and part[0][0] == "?" else ["?", part] for part in (a[i:j], b[k:m]) if part]
-    return out
-
-
-def page_wrapper(tokens: list[str], texts: list[tuple[str, int]]) -> list:
-    slots = iter(texts)
-    return repeats([["#", t[1:], 1, len((s := next(slots))[0]), s[1]] if t[0] == "#" else ["t", t] for t in tokens])
-
-
-def slots(wrapper: list) -> list[tuple[tuple[str, ...], str, list]]:
-    """(labels of the elements around it, label of the leaf, node) of each text slot, in order."""
-    out, stack = [], []
-
-    def walk(nodes: list) -> None:
-        for node in nodes:
-            if node[0] == "#":
-                out.append((tuple(stack), node[1], node))
-            elif node[0] != "t":
-                walk(node[1])
-            elif node[1][0] == "<":
-                stack.append(node[1][1:])
-            elif node[1][0] == "/":
-                name = node[1][1:]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].split(".")[0] == name:
-                        del stack[k:]
-                        break
+                if stack[-1].name == "p":
+                    pop("p")
+                ends, barriers = ENDS.get(name, ((), ()))
+                for other in ends:
+                    pop(other, barriers)
+                if not attributes.endswith("/"):
+                    push(name, attributes)
+    flush()
+    return blocks
 
-    walk(wrapper)
-    return out
 
+def _chosen(blocks: list[Block], mode: int) -> list[Block]:
+    tests = {ARTICLE: lambda e: e.inside, MARKED: lambda e: e.marked, CONTAINER: lambda e: e.within}
+    return [b for b in blocks if b.at.open and tests[mode](b.at)]
 
-def main_slots(wrapper: list) -> list[bool]:
-    """For each slot, whether its text belongs to the article.
 
-    Slots in elements of another role, or marked so by class, id or role, don't. Of the rest, those in ``article`` or
-    ``main`` do; without such elements, those in elements marked as content; else those under the
-    element that directly holds most text outside links.
-    """
-    found = slots(wrapper)
-
-    def outside(path: tuple[str, ...], leaf: str) -> bool:
-        inside = False
-        for label in (*path, leaf):
-            name, *words = label.split(".")
-            if name in OUTSIDE or (name == "header" and not inside):
-                return True
-            if name not in ("html", "body", "article", "main") and ASIDE_WORDS.intersection(words):
-                return True
-            inside = inside or name in ("article", "main")
-        return False
-
-    open_slots = [not outside(p, leaf) for p, leaf, _ in found]
-    tests = (
-        lambda path: any(x.split(".")[0] in ("article", "main") for x in path),
-        lambda path: any(x.split(".")[0] not in ("html", "body") and MAIN_WORDS.intersection(x.split(".")[1:]) for x in path),
-    )
-    for test in tests:
-        hit = [ok and test(path) for ok, (path, _, _) in zip(open_slots, found)]
-        if any(hit):
-            return hit
-    held: dict[tuple[str, ...], int] = defaultdict(int)
-    for ok, (path, _, node) in zip(open_slots, found):
-        if ok:
-            held[path] += node[3] - 2 * node[4]
-    if not held:
-        return open_slots
-    best = min(held, key=lambda p: (-held[p], p))
-    return [ok and path[: len(best)] == best for ok, (path, _, _) in zip(open_slots, found)]
-
-
-class Wrapper:
-    """A wrapper as a regular expression over one character for each distinct token."""
-
-    def __init__(self, nodes: list):
-        self.letters: dict[str, str] = {}
-        self.main = [k for k, ok in enumerate(main_slots(nodes)) if ok]
-        self.count = 0
-        self.pattern = regex.compile(self._pattern(nodes))
-
-    def _letter(self, token: str) -> str:
-        return self.letters.setdefault(token, chr(0xF0000 + len(self.letters)))
-
-    def _pattern(self, nodes: list) -> str:
-        out = []
-        for node in nodes:
-            if node[0] == "t":
-                out.append(self._letter(node[1]))
-            elif node[0] == "#":
-                out.append(f"(?P<s{self.count}>{self._letter('#' + node[1])})")
-                self.count += 1
-            else:
-                out.append(f"(?:{self._pattern(node[1])}){node[0]}")
-        return "".join(out)
-
-    def extract(self, tokens: list[str], texts: list[tuple[str, int]]) -> list[str] | None:
-        """Texts of the main slots in page order; None if the page doesn't match."""
-        letters = [self.letters.get(t) for t in tokens]
-        if None in letters:
-            return None
-        try:
-            m = self.pattern.fullmatch("".join(letters), timeout=5)
-        except TimeoutError:
-            return None
-        if m is None:
-            return None
-        number, chosen = {}, []
-        for k, t in enumerate(tokens):
-            if t[0] == "#":
-                number[k] = len(number)
-        for s in self.main:
-            chosen += [number[a] for a in m.starts(f"s{s}")]
-        return [texts[k][0] for k in sorted(chosen)]
+def main_text(page: str | None, mode: int | None = None, container: int | None = None, constant: frozenset[int] = frozenset()) -> str:
+    """Text of the slots that the host's wrapper gives to the article; without one, or where it gives none, of the page's own."""
+    blocks = [b for b in parse(page, container) if not constant or b.key() not in constant]
+    found = _chosen(blocks, mode) if mode is not None else []
+    if not found:
+        found = next((some for some in (_chosen(blocks, ARTICLE), _chosen(blocks, MARKED)) if some), [])
+    if not found:
+        held: dict[int, int] = {}
+        for b in blocks:
+            if b.at.open:
+                held[b.at.container] = held.get(b.at.container, 0) + len(b.text) - 2 * b.linked
+        if held:
+            best = min(held, key=lambda c: (-held[c], c))
+            found = [b for b in _chosen(parse(page, best), CONTAINER) if not constant or b.key() not in constant]
+    return " ".join(b.text for b in found)
 
 
 def host_of(url: str) -> Column:
@@ -319,55 +229,123 @@ def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.expr(f"try_parse_url(CAST(`{url}` AS STRING), 'HOST')")), F.lit(""))
 
 
-def main_text(wrapper: Wrapper | None, page: str | None, constant: frozenset[int] = frozenset()) -> str:
-    tokens, texts = page_tokens(page, constant)
-    if not texts:
-        return ""
-    found = wrapper.extract(tokens, texts) if wrapper is not None else None
-    if found is None:  # a page that its host's wrapper can't match is its own wrapper
-        found = Wrapper(page_wrapper(tokens, texts)).extract(tokens, texts)
-    if found is None:
-        plain = iter(texts)
-        alone = [["#", t[1:], 1, len((s := next(plain))[0]), s[1]] if t[0] == "#" else ["t", t] for t in tokens]
-        found = [texts[k][0] for k, ok in enumerate(main_slots(alone)) if ok]
-    return " ".join(found)
+_PART = (
+    "host string, pages bigint, chars bigint, low bigint, high bigint, "
+    "nodes array<struct<node: bigint, parent: bigint, label: string, pages: bigint, times: bigint, position: bigint, blocks: bigint, mode: int, container: bigint, chars: bigint>>, common array<struct<key: bigint, chars: bigint>>"
+)
 
 
-def constant_blocks(pages: DataFrame, *, url: str = "url", page: str = "html") -> DataFrame:
-    """``host`` and ``constant``: keys of the blocks that stand on every page of a host of two different pages or more.
-
-    Aligned with any other page they match; all other blocks are slots, also those that only a few pages lack.
-    Tasks give the blocks common to their own pages; those common to all tasks remain. Pages without blocks don't count.
-    """
+def _parts(pages: DataFrame, url: str, page: str) -> DataFrame:
+    """What each task finds out about each host, in sums, extremes and intersections, so that the order doesn't matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[int, int, set[int]]] = {}
+        held: dict[str, list] = {}
+
+        def out() -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            node = pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("label", pa.string()), *((c, pa.int64()) for c in ("pages", "times", "position", "blocks")), ("mode", pa.int32()), ("container", pa.int64()), ("chars", pa.int64())])
+            names = ["node", "parent", "label", "pages", "times", "position", "blocks", "mode", "container", "chars"]
+            rows = [[host, *h[:4], [dict(zip(names, (k, *v))) for k, v in h[4].items()], [{"key": k, "chars": n} for k, n in h[5].items()]] for host, h in held.items()]
+            columns = list(zip(*rows)) or [[]] * 7
+            types = [*kinds, pa.list_(node), pa.list_(pa.struct([("key", pa.int64()), ("chars", pa.int64())]))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in ("host", "pages", "chars", "low", "high", "nodes", "common")])
+
+        size = 0
         for batch in batches:
             for part in slices(batch, 1):
                 for host, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    tokens, texts = page_tokens(p)
-                    if not texts:
+                    nodes: dict[int, list] = {}
+                    blocks = parse(p, nodes=nodes)
+                    if not blocks:
                         continue
-                    leaves = (t[1:] for t in tokens if t[0] == "#")
-                    keys = {block_key(leaf, block) for leaf, (block, _) in zip(leaves, texts)}
-                    whole = xxhash.xxh3_64_intdigest("\n".join([*tokens, *(block for block, _ in texts)])) - (1 << 63)
-                    low, high, common = held.get(host, (whole, whole, keys))
-                    held[host] = min(low, whole), max(high, whole), common & keys
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(held, pa.string()), pa.array([x[0] for x in held.values()], pa.int64()), pa.array([x[1] for x in held.values()], pa.int64()), pa.array([sorted(x[2]) for x in held.values()], pa.list_(pa.int64()))],
-            ["host", "low", "high", "common"],
-        )
+                    whole = xxhash.xxh3_64_intdigest("\n".join(f"{b.at.node} {b.text}" for b in blocks)) - (1 << 63)
+                    common = {b.key(): len(b.text) for b in blocks if b.at.open}
+                    if host not in held:
+                        held[host] = [0, 0, whole, whole, {}, common]
+                    h = held[host]
+                    h[0] += 1
+                    h[2], h[3] = min(h[2], whole), max(h[3], whole)
+                    if h[5]:
+                        h[5] = {k: n for k, n in h[5].items() if k in common}
+                    for node, (parent, label, times, position) in nodes.items():
+                        known = h[4].get(node)
+                        if known is None:
+                            known = h[4][node] = [parent, label, 0, 0, 0, 0, -1, 0, 0]
+                            size += 1
+                        known[2] += 1
+                        known[3] = max(known[3], times)
+                        known[4] += position
+                    for b in blocks:
+                        e, n = b.at, len(b.text)
+                        known = h[4].setdefault(e.node, [0, "", 1, 1, 0, 0, -1, 0, 0])
+                        known[5] += 1
+                        if e.open:
+                            h[1] += n
+                            known[6] = ARTICLE if e.inside else MARKED if e.marked else CONTAINER
+                            known[7] = e.container
+                            known[8] += n - 2 * b.linked
+                if size > 200_000:
+                    yield out()
+                    held.clear()
+                    size = 0
+        yield out()
+
+    return store(pages.select(host_of(url).alias("host"), F.col(page).cast("string").alias("page")).mapInArrow(run, _PART))
+
+
+def infer_wrappers(pages: DataFrame, *, url: str = "url", page: str = "html", parts: DataFrame | None = None) -> DataFrame:
+    """The wrapper of each host: one row for each ``node`` of its tree, with ``parent``, ``label`` and ``position``.
+
+    Token streams of a host's pages are aligned element by element: two tokens meet if the elements around them do and
+    their labels are equal, so no search is needed. What one page lacks is ``optional``, what comes twice in one
+    parent is ``repeated``, and a node with ``blocks`` has a text slot. Every page takes part, and in any order the
+    wrapper is the same. Pages without text don't count.
+    """
+    parts = _parts(pages, url, page) if parts is None else parts
+    n = parts.groupBy("host").agg(F.sum("pages").alias("n"))
+    nodes = parts.select("host", F.explode("nodes").alias("x")).select("host", "x.*").groupBy("host", "node")
+    nodes = nodes.agg(*(F.max(c).alias(c) for c in ("parent", "label", "times", "mode", "container")), *(F.sum(c).alias(c) for c in ("pages", "position", "blocks", "chars")))
+    nodes = nodes.join(n, "host")
+    return nodes.select("host", "node", "parent", "label", (F.col("position") / F.col("pages")).alias("position"), (F.col("pages") < F.col("n")).alias("optional"), (F.col("times") > 1).alias("repeated"), "blocks", "mode", "container", "chars")
+
+
+def expression(nodes: list) -> str:
+    """One host's wrapper as text: ``<label>...</>`` for elements, ``#`` for slots, ``(...)?`` and ``(...)+`` for groups."""
+    below: dict[int, list] = {}
+    for r in nodes:
+        if r.label:
+            below.setdefault(r.parent, []).append(r)
+
+    def show(parent: int) -> str:
+        out = []
+        for r in sorted(below.get(parent, ()), key=lambda r: (r.position, r.label)):
+            one = f"<{r.label}>{'#' if r.blocks else ''}{show(r.node)}</>"
+            one = f"({one})+" if r.repeated else one
+            out.append(f"({one})?" if r.optional else one)
+        return "".join(out)
+
+    return show(0)
 
-    parts = store(pages.select(host_of(url).alias("host"), F.col(page).cast("string").alias("page")).mapInArrow(run, "host string, low bigint, high bigint, common array<bigint>"))
-    hosts = parts.groupBy("host").agg(F.count("*").alias("n")).join(parts.groupBy("host").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high"), "host")
-    keys = parts.select("host", F.explode("common").alias("key")).groupBy("host", "key").agg(F.count("*").alias("m"))
-    return store(keys.join(hosts, "host").filter("m = n").groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("constant")))
 
+def choices(pages: DataFrame, *, url: str = "url", page: str = "html") -> DataFrame:
+    """``host``, ``mode``, ``container`` and ``constant``: which slots of the host's wrapper are the article.
 
-def with_constants(pages: DataFrame, constants: DataFrame, url: str) -> DataFrame:
-    """``pages`` with ``__key``, the host, and ``__constant``."""
-    keyed = pages.withColumn("__key", host_of(url))
-    return keyed.join(constants.select(F.col("host").alias("__of"), F.col("constant").alias("__constant")), F.col("__key") == F.col("__of"), "left").drop("__of")
+    Of the slots that may hold article text (not in elements of another role, nor marked so by class, id or role), those in
+    ``article`` or ``main`` do; where the host has none, those in elements marked as content; else those under the
+    element that directly holds most text outside links over all pages. Slots with the same text on every page of a
+    host of two different pages or more are template (``constant``), unless they are three quarters of the text: such
+    pages are copies of each other.
+    """
+    parts = _parts(pages, url, page)
+    nodes = infer_wrappers(pages, url=url, page=page, parts=parts).filter("blocks > 0 AND mode >= 0")
+    mode = nodes.groupBy("host").agg(F.max("mode").alias("mode"))
+    held = nodes.groupBy("host", "container").agg(F.sum("chars").alias("chars"))
+    best = held.groupBy("host").agg(F.max(F.struct("chars", (-F.col("container")).alias("c"), "container")).alias("best")).select("host", F.col("best.container").alias("container"))
+    hosts = parts.groupBy("host").agg(F.count("*").alias("parts"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high")
+    keys = parts.select("host", F.explode("common").alias("x")).groupBy("host", "x.key").agg(F.count("*").alias("m"), F.min("x.chars").alias("n"))
+    keys = keys.join(hosts, "host").filter("m = parts").groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("constant"), F.sum("n").alias("n"), F.first("chars").alias("chars"), F.first("pages").alias("pages"))
+    keys = keys.filter("4 * n * pages <= 3 * chars").select("host", "constant")
+    return store(mode.join(best, "host").join(keys, "host", "left"))
 
 
 _CONSTANT: dict[tuple, frozenset[int]] = {}
@@ -383,88 +361,27 @@ def _constant(keys: list[int] | None) -> frozenset[int]:
     return _CONSTANT[at]
 
 
-def infer_wrappers(pages: DataFrame, *, url: str = "url", page: str = "html", salts: int = 32, constants: DataFrame | None = None) -> DataFrame:
-    """``host`` and ``wrapper`` (JSON). Every page takes part; ``constants`` are those of ``constant_blocks``.
-
-    Each task aligns the pages it reads, host by host, into one wrapper a host; those are aligned by host and salt
-    and then by host, in the order of their text. So a host's pages never meet in one task, however many it has.
-    """
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, dict[str, list]] = defaultdict(dict)
-        for batch in batches:
-            for part in slices(batch, 1):
-                for host, p, constant in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    tokens, texts = page_tokens(p, _constant(constant))
-                    if texts:
-                        nodes = page_wrapper(tokens, texts)
-                        shapes, shape = own[host], " ".join(map(core, nodes))
-                        shapes[shape] = align(shapes[shape], nodes) if shape in shapes else nodes
-                        if len(shapes) > 64:
-                            whole = _align_all(list(shapes.values()))
-                            shapes.clear()
-                            shapes[" ".join(map(core, whole))] = whole
-        hosts = sorted(own)
-        made = [json.dumps(_align_all(list(own[h].values())), ensure_ascii=False) for h in hosts]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(made, pa.string())], ["host", "wrapper"])
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes = _align_all([json.loads(w) for w in sorted(rows["wrapper"])])
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(nodes, ensure_ascii=False)]})
-
-    schema = "host string, wrapper string"
-    known = with_constants(pages, constant_blocks(pages, url=url, page=page) if constants is None else constants, url)
-    parts = known.select(F.col("__key").alias("host"), F.col(page).cast("string").alias("page"), "__constant").mapInArrow(fold, schema)
-    parts = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
-    parts = parts.groupBy("host", "salt").applyInPandas(lambda rows: merge(rows), schema)
-    return store(parts.groupBy("host").applyInPandas(lambda rows: merge(rows), schema))
-
-
-def _align_all(wrappers: list[list]) -> list:
-    wrappers.sort(key=lambda w: (-len(w), json.dumps(w)))
-    out = wrappers[0]
-    for w in wrappers[1:]:
-        out = align(out, w)
-    return out
-
-
-_COMPILED: OrderedDict[str, Wrapper | None] = OrderedDict()
-
-
-def _compiled(text: str | None) -> Wrapper | None:
-    if text is None:
-        return None
-    if text not in _COMPILED:
-        try:
-            _COMPILED[text] = Wrapper(json.loads(text))
-        except regex.error:
-            _COMPILED[text] = None
-        while len(_COMPILED) > 500:
-            _COMPILED.popitem(last=False)
-    _COMPILED.move_to_end(text)
-    return _COMPILED[text]
-
-
 def main_texts(pages: DataFrame, *, url: str = "url", page: str = "html") -> DataFrame:
     """All columns of ``pages`` but the html, with ``text`` and ``n_chars`` (code points) of the main text.
 
     White space inside a block becomes one space, and blocks are joined by one. Null and empty pages, and pages
-    without an article, get an empty text. Blocks that stand on every page of a host are template, not article. Rows without a host (no url) share a wrapper. Repeated rows give
-    repeated results. Columns ``text`` and ``n_chars`` of the input are replaced.
+    without an article, get an empty text; pages are read whole, in time proportional to their length. What the host's
+    wrapper holds to be template is left out. A page without any text in the article of its host's wrapper is judged by
+    itself. Rows without a host (no url) share a wrapper. Repeated rows give repeated results, whatever task reads
+    them; an empty table gives none. Columns ``text`` and ``n_chars`` of the input are replaced.
     """
     names = [c for c in pages.columns if c not in (page, "text", "n_chars")]
     types = dict(pages.dtypes)
-    constants = constant_blocks(pages, url=url, page=page)
-    wrappers = infer_wrappers(pages, url=url, page=page, constants=constants).select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"))
-    keyed = with_constants(pages, constants, url)
-    rows = keyed.join(wrappers, F.col("__key") == F.col("__host"), "left").select(*(F.col(f"`{c}`") for c in names), "__constant", "__wrapper", F.col(page).cast("string").alias("__page"))
+    host, of, mode, container, constant, html_ = fresh(pages.columns, "host", "of", "mode", "container", "constant", "html")
+    known = choices(pages, url=url, page=page).select(F.col("host").alias(of), F.col("mode").alias(mode), F.col("container").alias(container), F.col("constant").alias(constant))
+    rows = pages.withColumn(host, host_of(url)).join(known, F.col(host) == F.col(of), "left").select(*(F.col(f"`{c}`") for c in names), mode, container, constant, F.col(page).cast("string").alias(html_))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last = batch.num_columns - 1
-            for part in slices(batch, last):
-                found = [main_text(_compiled(w), p, _constant(c)) for c, w, p in zip(*(part.column(k).to_pylist() for k in (last - 2, last - 1, last)))]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], [*names, "text", "n_chars"])
+            k = len(names)
+            for part in slices(batch, k + 3):
+                found = [main_text(p, m, c, _constant(keys)) for m, c, keys, p in zip(*(part.column(j).to_pylist() for j in range(k, k + 4)))]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(k)), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], [*names, "text", "n_chars"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "text string", "n_chars bigint"])
     return rows.mapInArrow(run, schema)
