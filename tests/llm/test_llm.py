@@ -481,13 +481,10 @@ def test_wrapper_leaves_out_constant_blocks(spark):
 def test_masked_lm(spark, docs, texts, empty):
     rng = random.Random(8)
     pairs = spark.createDataFrame([(i, " ".join(f"l{k} r{k}" for k in (rng.randrange(6) for _ in range(150)))) for i in range(200)], "doc_id bigint, text string")
-    words, net = masked_lm.train(pairs.coalesce(1), rounds=2)
-    ids = masked_lm.Ids(words)
-    right, wrong = (masked_lm.score_texts([t.encode()], ids, net)[1][0] for t in ("l1 r1 l2 r2 l3 r3", "l1 r2 l2 r3 l3 r1"))
+    lexicon = masked_lm.lexicon_of(masked_lm.word_counts(pairs))
+    net = masked_lm.train(pairs.coalesce(1), lexicon, rounds=2)
+    right, wrong = (masked_lm.score_texts([t.encode()], masked_lm.Codes(lexicon), net)[1][0] for t in ("l1 r1 l2 r2 l3 r3", "l1 r2 l2 r3 l3 r1"))
     assert right > wrong
-    z = masked_lm.Network.start(np.ones(masked_lm.TOKENS))
-    around = np.full((4, masked_lm.TOKENS), 7, np.int16)
-    assert abs(np.exp(z.log_likelihood(around, np.arange(masked_lm.TOKENS))).sum() - 1) < 1e-3
     got = masked_lm.pseudo_likelihood(docs).collect()
     assert len(got) == len(texts)
     for r in got:
@@ -495,39 +492,66 @@ def test_masked_lm(spark, docs, texts, empty):
     assert masked_lm.pseudo_likelihood(empty).count() == 0
 
 
-def test_masked_lm_tells_all_words_apart(spark):
+def test_masked_lm_by_hand(spark, monkeypatch):
+    """Every word's probability by plain loops over the network's formula and the words' counts; all words together have 1."""
+    for name, value in (("LISTED", 20), ("OWN", 8), ("SHARED", 4), ("PAD", 12), ("CLASSES", 10)):
+        monkeypatch.setattr(masked_lm, name, value)
     rng = random.Random(5)
-    frequent = [f"a{k}" for k in range(600)]
-    texts = [" ".join(rng.choices(frequent, k=100)) for _ in range(200)] + [f"once{k} pair{k} pair{k} tail{k % 5} tail{k % 5} gib{k} gib{k} gib{k}" for k in range(50)]
-    lexicon, net = masked_lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
-    counts = Counter(w.encode() for t in texts for w in t.split())
-    ids = masked_lm.Ids(lexicon)
-    own = {w: ids[w] for w, c in counts.items() if c >= masked_lm.LEAST}
-    assert len(set(own.values())) == len(own) > masked_lm.TOKENS
-    size = len(lexicon.counts)
-    assert all(lexicon.counts[k] == counts[w] for w, k in own.items()) and lexicon.counts.sum() == sum(counts.values())
-    around = np.full((4, size), own[b"a7"], np.int32)
-    assert abs(np.exp(net.log_likelihood(around, np.arange(size)).astype(float)).sum() - 1) < 1e-3
-    total = 0.0
-    for w in counts:
-        value = net.log_likelihood(around[:, :1], np.array([ids[w]]))[0] + (ids.within[ids[w] - masked_lm.HEAD] if w not in own else 0)
-        total += np.exp(value)
-    used = [k for k in range(size) if lexicon.counts[k] > 0]
-    assert abs(total - np.exp(net.log_likelihood(around[:, : len(used)], np.array(used)).astype(float)).sum()) < 1e-3
+    texts = [" ".join(rng.choices([f"a{k}" for k in range(30)], k=60)) for _ in range(30)] + [f"once{k} pair{k} pair{k} tail{k % 5}" for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    table = masked_lm.word_counts(docs)
+    lexicon = masked_lm.lexicon_of(table)
+    net = masked_lm.train(docs, lexicon)
+    counts = Counter(w for t in texts for w in t.split())
+    assert {r.h: r.c for r in table.collect()} == {masked_lm.xxhash.xxh3_64_intdigest(w) - (1 << 64) * (masked_lm.xxhash.xxh3_64_intdigest(w) >> 63): c for w, c in counts.items()}
+    codes = masked_lm.Codes(lexicon)
+    cls = {w: int(lexicon.cls[codes[w.encode()]]) for w in counts}
+    mass = Counter()
+    for w, c in counts.items():
+        mass[cls[w]] += c
+    assert all(abs(lexicon.mass[k] - m) < 1e-9 for k, m in mass.items()) and sum(codes[w.encode()] < 20 for w in counts) == 20
+
+    def probability(around, word):
+        h = sum(net.places[k][lexicon.row[codes[x.encode()]] if x else 12].astype(float) for k, x in enumerate(around)) + net.b
+        z = np.tanh(h) @ net.out[:-1].astype(float) + net.out[-1]
+        return np.exp(z[cls[word]]) / np.exp(z).sum() * counts[word] / mass[cls[word]]
+
+    used = np.array(sorted(mass))
+    for around in (("a1", "a2", "a3", "once1"), (None, None, "a7", "pair2")):
+        h = sum(net.places[k][lexicon.row[codes[x.encode()]] if x else 12].astype(float) for k, x in enumerate(around)) + net.b
+        z = np.exp(np.tanh(h) @ net.out[:-1].astype(float) + net.out[-1])
+        assert abs(sum(probability(around, w) for w in counts) - z[used].sum() / z.sum()) < 1e-9
+    for r in masked_lm.pseudo_likelihood(docs, keep=["doc_id"]).collect():
+        w = [None, None, *texts[r.doc_id].split(), None, None]
+        assert abs(r.log_likelihood - sum(np.log(probability((w[i - 2], w[i - 1], w[i + 1], w[i + 2]), w[i])) for i in range(2, len(w) - 2))) < 1e-3
 
 
 def test_masked_lm_gradient():
-    """Every step on a batch makes the batch likelier, and each task's rows alone are moved."""
-    counts = np.random.default_rng(3).zipf(1.3, 3000).clip(1, 10_000).astype(float)
-    net = masked_lm.Network.start(np.sort(counts)[::-1])
+    """One step goes along the gradient, found by differences; steps on a batch make it likelier."""
     rng = np.random.default_rng(4)
-    around, target = rng.integers(0, 3000, (4, 512)).astype(np.int32), rng.integers(0, 3000, 512)
-    state = masked_lm.State(net)
-    before = net.log_likelihood(around, target).mean()
+    net = masked_lm.Network.start(rng.integers(1, 100, masked_lm.CLASSES).astype(float))
+    around, target = list(rng.integers(0, 50, (4, 64)).astype(np.int32)), rng.integers(0, masked_lm.CLASSES, 64)
+    before = masked_lm.Network(*(x.astype(np.float64) for x in vars(net).values()))
+    state = masked_lm.State(before)
+    start = {k: getattr(state, k).astype(np.float64) for k in ("places", "b", "out")}
+    for k, v in start.items():
+        setattr(state, k, v.copy())
+    moved = masked_lm.Network(*(x.copy() for x in vars(before).values()))
+    moved.log_likelihood(around, target, (state, 0.05))
+    for name, at in (("places", (1, int(around[1][0]), 3)), ("b", (5,)), ("out", (2, int(target[0]))), ("out", (masked_lm.HIDDEN, 7))):
+        value = []
+        for d in (1e-5, -1e-5):
+            other = masked_lm.Network(*(x.copy() for x in vars(before).values()))
+            getattr(other, name)[at] += d
+            value.append(other.log_likelihood(around, target).mean())
+        slope = (value[0] - value[1]) / 2e-5
+        assert np.sign(getattr(moved, name)[at] - getattr(before, name)[at]) == np.sign(slope)
+        if name != "places":
+            assert abs(np.sqrt(getattr(state, name)[at] - start[name][at]) - abs(slope)) < 1e-6
+    state, first = masked_lm.State(net), net.log_likelihood(around, target).mean()
     for _ in range(20):
         net.log_likelihood(around, target, (state, 0.05))
-    assert net.log_likelihood(around, target).mean() > before + 0.5
-    assert (state.hits[0].reshape(4, -1)[:, :-1].sum(axis=1) == 20 * np.array([len(set(a)) for a in around])).all()
+    assert net.log_likelihood(around, target).mean() > first + 0.5
 
 
 def test_bitmap(spark):
