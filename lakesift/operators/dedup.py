@@ -7,7 +7,7 @@ few files. All steps are aggregations with partial sums and equi joins, which th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_BYTES = 64 * 1024
@@ -44,9 +44,11 @@ def sample_digest(content: Column, size: Column, target: int) -> Column:
 def narrowed(files: DataFrame, target: int = SAMPLE_BYTES) -> DataFrame:
     """Files that share size, sampled digest and full digest with another.
 
-    The first pass carries ids, sizes and sampled digests only; content is joined back for the files that are left, by id.
+    Sizes alone are compared first, so that content is read only of files that share one; each step carries ids and digests,
+    and content is joined back by id.
     """
-    slim = files.select("file_id", "size", sample_digest(F.col("content"), F.col("size"), target).alias("sample"))
+    same_size = in_buckets(files.select("file_id", "size"), "size").select("file_id")
+    slim = files.join(same_size, "file_id", "left_semi").select("file_id", "size", sample_digest(F.col("content"), F.col("size"), target).alias("sample"))
     left = in_buckets(slim, "size", "sample").select("file_id", "sample")
     hashed = files.join(left, "file_id").withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
     return hashed.filter("digest IS NOT NULL")
@@ -81,14 +83,15 @@ def class_discriminator(members: DataFrame) -> DataFrame:
 
 
 def stage_summary(files: DataFrame, target: int = SAMPLE_BYTES) -> DataFrame:
-    """Files and bytes that reach each step."""
-    slim = files.select("size", sample_digest(F.col("content"), F.col("size"), target).alias("sample"), F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
-    keys = [F.lit(True), F.col("size").isNotNull(), F.col("sample").isNotNull(), F.col("digest").isNotNull()]
-    slim = slim.groupBy("size", "sample", "digest").agg(F.count("*").alias("c"))
-    count = lambda *k: F.sum("c").over(Window.partitionBy(*k))
-    # Every step's key extends the one before, so all counts come from one shuffle of counted rows by size.
-    slim = slim.withColumn("n1", count("size")).withColumn("n2", count("size", "sample")).withColumn("n3", count("size", "sample", "digest"))
-    steps = [keys[0], keys[1] & (F.col("n1") > 1), keys[2] & (F.col("n2") > 1), keys[3] & (F.col("n3") > 1)]
-    names = ("1 listed", "2 same size", "3 same sample", "4 same digest")
-    one = slim.agg(*(F.struct(F.lit(n).alias("stage"), F.coalesce(F.sum(F.when(c, F.col("c"))), F.lit(0)).alias("files"), F.coalesce(F.sum(F.when(c, F.col("c") * F.col("size"))), F.lit(0)).cast("bigint").alias("bytes")).alias(f"s{k}") for k, (n, c) in enumerate(zip(names, steps))))
-    return one.select(F.explode(F.array("s0", "s1", "s2", "s3")).alias("s")).select("s.*")
+    """Files and bytes that reach each step; content is sampled only where sizes are shared, and hashed only where samples are."""
+    ids = files.select("file_id", "size")
+    sized = in_buckets(ids, "size")
+    some = files.join(sized.select("file_id"), "file_id", "left_semi").select("file_id", "size", sample_digest(F.col("content"), F.col("size"), target).alias("sample"))
+    sampled = in_buckets(some, "size", "sample")
+    whole = files.join(sampled.select("file_id", "sample"), "file_id").select("file_id", "size", "sample", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+    steps = {"1 listed": ids, "2 same size": sized, "3 same sample": sampled, "4 same digest": in_buckets(whole, "size", "sample", "digest")}
+    out = None
+    for name, df in steps.items():
+        one = df.agg(F.lit(name).alias("stage"), F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("bytes"))
+        out = one if out is None else out.union(one)
+    return out

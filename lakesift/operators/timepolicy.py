@@ -37,51 +37,54 @@ def priority(kind: Column) -> Column:
     return out
 
 
-def _only(value: Column, ok: Column) -> Column:
-    """The single distinct parsed value of a group; null if there are several or one was rejected."""
-    return F.when((F.count_distinct(value) == 1) & F.min(ok), F.min(value))
+def graded(fields: DataFrame) -> DataFrame:
+    """Every field with the time it states, if any: ``wall``, ``nanos``, ``precision``, ``minutes``, ``instant``, ``confidence``, ``strong``;
 
-
-def scopes(fields: DataFrame) -> DataFrame:
-    """Each source's scopes with their unique offset and fraction, and whether a companion is invalid."""
+    and ``invalid``: a companion of its scope can't be read, a companion has no original time, or its own text states no time.
+    An original time is high with an offset in its own scope and medium without. QuickTime text is medium, create
+    times are medium, and both fall a level without an offset; modify and movie times are low. Companions are found
+    by windows over the scope, so fields dealt by analysis aren't shuffled again.
+    """
     raw, kind = F.col("raw"), F.col("kind")
+    w = Window.partitionBy("analysis", "source", "lineage", "scope")
     offset = F.when(kind == "offset", M.offset_minutes(raw))
     nanos, precision = F.when(kind == "subsec", M.subsecond_nanos(raw)), F.when(kind == "subsec", M.subsecond_precision(raw))
-    by = fields.filter(kind.isin("offset", "subsec", "dto")).groupBy("analysis", "source", "lineage", "scope")
-    return by.agg(
-        _only(offset, (kind != "offset") | offset.isNotNull()).alias("minutes"),
-        _only(nanos, (kind != "subsec") | nanos.isNotNull()).alias("nanos"),
-        _only(precision, (kind != "subsec") | precision.isNotNull()).alias("precision"),
-        F.max(((kind == "offset") & offset.isNull()) | ((kind == "subsec") & nanos.isNull())).alias("bad_companion"),
-        (F.max(kind == "dto") == F.lit(False)).alias("orphan"),
-    )
+    known = F.col("scope").isNotNull() & F.col("lineage").isNotNull()
 
+    def only(value: Column, companion: str) -> Column:
+        """The single distinct value among the companions; null if there are several or one can't be read."""
+        least, ok = F.min(value).over(w), F.min((kind != companion) | value.isNotNull()).over(w)
+        return F.when(known & ok & (least == F.max(value).over(w)), least)
 
-def atoms(fields: DataFrame) -> DataFrame:
-    """One row for each field that states a time: wall seconds, nanoseconds, offset, confidence, and whether it is strong.
-
-    An original time is high with an offset in its own scope and medium without. QuickTime text is medium, create
-    times are medium, and both fall a level without an offset; modify and movie times are low.
-    """
-    raw, kind = F.col("raw"), F.col("kind")
-    f = fields.filter(kind.isin(*PRIORITY)).join(scopes(fields).drop("orphan"), ["analysis", "source", "lineage", "scope"], "left")
+    bad = ((kind == "offset") & offset.isNull()) | ((kind == "subsec") & nanos.isNull())
+    f = fields.select("*", only(offset, "offset").alias("minutes"), only(nanos, "subsec").alias("nanos"), only(precision, "subsec").alias("precision"), F.max(bad).over(w).alias("bad_companion"), (~F.max(kind == "dto").over(w) & kind.isin("offset", "subsec")).alias("orphan"))
     movie = F.when(kind == "mvhd", F.expr("try_cast(raw AS bigint)") - M.MOVIE_EPOCH)
-    f = f.withColumn("wall", F.when(kind == "mvhd", movie).when(kind == "qt_text", M.iso_wall(raw)).otherwise(M.exif_wall(raw)))
+    f = f.withColumn("wall", F.when(kind == "mvhd", movie).when(kind == "qt_text", M.iso_wall(raw)).when(kind.isin(*PRIORITY), M.exif_wall(raw)))
     f = f.withColumn("minutes", F.when(kind == "mvhd", 0).when(kind == "qt_text", M.iso_offset(raw)).when(kind == "dto", F.col("minutes")))
     f = f.withColumn("nanos", F.when(kind == "qt_text", M.iso_nanos(raw)).when(kind == "dto", F.coalesce("nanos", F.lit(0))).otherwise(F.lit(0)).cast("bigint"))
     f = f.withColumn("precision", F.when(kind == "dto", F.coalesce("precision", F.lit(1_000_000_000))).otherwise(F.lit(1_000_000_000)).cast("bigint"))
     zoned = F.col("minutes").isNotNull()
     first = F.when(kind == "dto", F.when(zoned, "high").otherwise("medium")).when(kind.isin("qt_text", "create"), F.when(zoned, "medium").otherwise("low")).otherwise("low")
-    return f.filter("wall IS NOT NULL").select(
-        "analysis", "source", "lineage", "scope", "kind", "wall", "nanos", "precision", "minutes", M.instant_seconds(F.col("wall"), F.col("minutes")).alias("instant"), first.alias("confidence"), kind.isin("dto", "qt_text").alias("strong"), "verified",
+    invalid = F.col("bad_companion") | F.col("orphan") | (kind.isin(*PRIORITY) & F.col("wall").isNull())
+    return f.select(
+        "analysis", "source", "lineage", "scope", "kind", "wall", "nanos", "precision", "minutes", M.instant_seconds(F.col("wall"), F.col("minutes")).alias("instant"), first.alias("confidence"), kind.isin("dto", "qt_text").alias("strong"), "verified", "bad_companion", invalid.alias("invalid"),
     )
 
 
+def atoms(fields: DataFrame) -> DataFrame:
+    """Those of ``graded`` that state a time."""
+    return graded(fields).filter("wall IS NOT NULL").drop("bad_companion", "invalid")
+
+
+def _semantic() -> Column:
+    """What a time means: two offsets of one instant agree."""
+    zoned = F.col("instant").isNotNull()
+    return F.struct(zoned.alias("utc"), F.when(zoned, F.col("instant")).otherwise(F.col("wall")).alias("s"), F.col("nanos"), F.when(~zoned, F.col("precision")).alias("p"))
+
+
 def lineage_conflicts(a: DataFrame) -> DataFrame:
     """Lineages in which a kind states more than one time; two offsets of one instant agree."""
-    zoned = F.col("instant").isNotNull()
-    semantic = F.struct(zoned.alias("utc"), F.when(zoned, F.col("instant")).otherwise(F.col("wall")).alias("s"), F.col("nanos"), F.when(~zoned, F.col("precision")).alias("p"))
-    return a.groupBy("analysis", "lineage", "kind").agg(F.count_distinct(semantic).alias("n")).filter("n > 1").select("analysis", "lineage", "kind")
+    return a.groupBy("analysis", "lineage", "kind").agg(F.count_distinct(_semantic()).alias("n")).filter("n > 1").select("analysis", "lineage", "kind")
 
 
 def strong_conflicts(a: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
@@ -104,23 +107,72 @@ def candidates(a: DataFrame) -> DataFrame:
     return a.groupBy(*key).agg(merged("kind"), merged("source"), merged("lineage"), level(F.max(rank(F.col("confidence")))).alias("confidence"), F.max(priority(F.col("kind"))).alias("priority"), F.max("strong").alias("strong"), F.min("verified").alias("verified"))
 
 
-def assessed(c: DataFrame, conflicts: DataFrame, tolerance: int = TOLERANCE, future_after: int = 4102444800) -> DataFrame:
-    """Candidates with anomalies, blockers (none: eligible) and near ambiguity with a neighbour of equal rank."""
+#: Issue codes that make a whole analysis a conflict.
+CONFLICT_CODES = (
+    "invalid_companion", "repeated_field", "lineage", "strong", "possible_time_zone", "report_untrusted", "report_contradiction", "parser_mismatch", "encoding_mismatch", "container_mismatch", "locator_mismatch",
+    "duplicate_source", "unknown_parser", "budget_contradiction",
+)
+
+
+def source_trust(reports: DataFrame, parser: str) -> DataFrame:
+    """Issue codes of each source, whether its fields are dropped, and whether it makes the extraction untrusted.
+
+    ``reports``: ``analysis``, ``source``, ``parser``, ``status`` (``extracted``, ``partial``, ``failed``, ``none``), ``budget_ok``, ``fields``,
+    ``issues`` (counts), and of its fields how many contradict it: ``other_parser``, ``bad_encoding``, ``bad_container``, ``bad_locator``.
+    A source that is given twice is untrusted; a report's status must agree with its fields and issues.
+    """
+    twice = F.count("*").over(Window.partitionBy("analysis", "source")) > 1
+    trusted, broken = F.col("status") == "extracted", F.col("status").isin("partial", "failed")
+    contradiction = F.when(trusted, (F.col("fields") == 0) | (F.col("issues") > 0)).when(broken, F.col("fields") > 0).otherwise((F.col("fields") > 0) | (F.col("issues") > 0))
+    found = {
+        "duplicate_source": twice, "unknown_parser": ~F.col("parser").eqNullSafe(parser), "budget_contradiction": ~F.coalesce("budget_ok", F.lit(False)), "parser_mismatch": F.col("other_parser") > 0, "encoding_mismatch": F.col("bad_encoding") > 0,
+        "container_mismatch": F.col("bad_container") > 0, "locator_mismatch": F.col("bad_locator") > 0, "report_untrusted": broken, "report_contradiction": contradiction,
+    }
+    dropping = [c for n, c in found.items() if n not in ("duplicate_source", "report_untrusted")]
+    dropped = ~F.coalesce(trusted, F.lit(False))
+    for c in dropping:
+        dropped = dropped | F.coalesce(c, F.lit(False))
+    codes = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in found.items())))
+    return reports.select("analysis", "source", codes.alias("codes"), dropped.alias("dropped"), (twice | broken | contradiction).alias("untrusted"))
+
+
+def assessed(g: DataFrame, tolerance: int = TOLERANCE, future_after: int = 4102444800, since: int = 631152000, untrusted: DataFrame | None = None) -> DataFrame:
+    """Candidates of graded fields with anomalies, blockers (none: eligible) and near ambiguity; one shuffle, by analysis.
+
+    An analysis without any time gives one row with a null ``wall``. ``since`` and ``future_after`` bound the automatic range. Analyses in
+    ``untrusted`` have reports that can't be trusted. Instants are compared with each other, floating times on the wall scale.
+    """
+    limit = min(tolerance, 5)
+    known = F.col("wall").isNotNull()
+    by, line = Window.partitionBy("analysis"), Window.partitionBy("analysis", "lineage", "kind")
+    strong = known & F.col("strong")
+    edge = lambda f, c, more=F.lit(True): f(F.when(strong & more, F.col(c))).over(by)
+    floating = F.col("instant").isNull()
+    apart = F.greatest(edge(F.max, "instant") - edge(F.min, "instant"), edge(F.max, "wall") - edge(F.min, "wall", floating), edge(F.max, "wall", floating) - edge(F.min, "wall"), F.lit(0))
+    said = F.when(known, _semantic())
+    split = F.coalesce(F.min(said).over(line) != F.max(said).over(line), F.lit(False))
+    g = g.withColumn("split", split).withColumn("conflict", (apart > limit) | F.max("split").over(by) | F.max("bad_companion").over(by)).withColumn("invalid", F.max("invalid").over(by))
+    key = ["analysis", "wall", "nanos", "precision", "minutes", "instant"]
+    g = g.withColumn("nanos", F.when(known, F.col("nanos"))).withColumn("precision", F.when(known, F.col("precision"))).withColumn("minutes", F.when(known, F.col("minutes")))
+    c = g.groupBy(*key).agg(level(F.max(rank(F.col("confidence")))).alias("confidence"), F.max(priority(F.col("kind"))).alias("priority"), F.min("verified").alias("verified"), F.max("conflict").alias("conflict"), F.max("invalid").alias("invalid"), F.max(F.col("kind") == "mvhd").alias("movie"))
+    c = c.withColumn("some", F.max(known).over(by)).filter(known | ~F.col("some")).drop("some")
+    if untrusted is not None:
+        c = c.join(untrusted.select("analysis").distinct().withColumn("untrusted", F.lit(True)), "analysis", "left")
+    c = c.withColumn("untrusted", F.coalesce("untrusted", F.lit(False)) if untrusted is not None else F.lit(False)).withColumn("conflict", F.col("conflict") | F.col("untrusted"))
     year = F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("wall") / 86400).cast("int")))
-    c = c.join(conflicts.select("analysis").distinct().withColumn("conflict", F.lit(True)), "analysis", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
-    c = c.withColumn("sentinel", M.sentinel(year)).withColumn("future", F.coalesce("instant", "wall") > future_after).withColumn("floating", F.col("instant").isNull())
-    c = c.withColumn("confidence", F.when(F.col("conflict"), "conflict").when(F.col("sentinel") | F.col("future"), "low").otherwise(F.col("confidence")))
+    at = F.coalesce("instant", "wall")
+    c = c.withColumn("sentinel", M.sentinel(year)).withColumn("future", at > future_after).withColumn("no_instant", known & floating).withColumn("out_of_range", (at < since) | (at > future_after))
+    c = c.withColumn("confidence", F.when(F.col("conflict"), "conflict").when(F.col("sentinel") | F.col("future") | F.col("out_of_range"), "low").otherwise(F.col("confidence")))
+    c = c.withColumn("missing_offset", F.col("no_instant")).withColumn("movie_epoch", F.col("movie")).withColumn("invalid_companion", F.col("invalid"))
     named = lambda *p: F.array_compact(F.array(*(F.when(F.col(x), F.lit(x)) for x in p)))
-    c = c.withColumn("anomalies", named("sentinel", "future", "floating"))
+    c = c.withColumn("anomalies", named("missing_offset", "movie_epoch", "sentinel", "future", "out_of_range", "invalid_companion"))
     w = Window.partitionBy("analysis", "confidence", "priority").orderBy("instant")
-    at = (F.col("confidence") == "high") & F.col("instant").isNotNull()
-    # Neighbouring distinct instants; equal ones are refinements of each other.
-    distinct = c.filter(at).select("analysis", "confidence", "priority", "instant").distinct()
-    near = distinct.withColumn("d", F.least(F.col("instant") - F.lag("instant").over(w), F.lead("instant").over(w) - F.col("instant"))).filter(F.col("d") <= min(tolerance, 5))
-    near = near.select("analysis", "confidence", "priority", "instant", F.lit(True).alias("ambiguous"))
-    c = c.join(near, ["analysis", "confidence", "priority", "instant"], "left").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
+    exact = F.when((F.col("confidence") == "high") & ~floating, F.col("instant"))
+    # Neighbours within the tolerance but not at the same instant; equal ones are refinements of each other.
+    c = c.withColumn("ambiguous", exact.isNotNull() & (F.count(exact).over(w.rangeBetween(-limit, limit)) > F.count(exact).over(w.rangeBetween(0, 0))))
     c = c.withColumn("not_high", F.col("confidence") != "high").withColumn("unverified", ~F.col("verified"))
-    return c.withColumn("blockers", named("conflict", "sentinel", "future", "floating", "not_high", "unverified", "ambiguous")).withColumn("eligible", F.size("blockers") == 0)
+    c = c.withColumn("blockers", named("not_high", "no_instant", "conflict", "sentinel", "future", "out_of_range", "movie_epoch", "invalid", "untrusted", "unverified", "ambiguous"))
+    return c.withColumn("eligible", known & (F.size("blockers") == 0))
 
 
 def preferred(c: DataFrame) -> DataFrame:
@@ -129,12 +181,9 @@ def preferred(c: DataFrame) -> DataFrame:
     return c.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def decisions(fields: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+def decisions(fields: DataFrame, tolerance: int = TOLERANCE, untrusted: DataFrame | None = None) -> DataFrame:
     """``conflict``, ``none``, ``eligible`` or ``review`` for each analysis, and the time selected by the last two."""
-    a = atoms(fields)
-    conflicts = lineage_conflicts(a).select("analysis").union(strong_conflicts(a, tolerance).select("analysis")).distinct()
-    best = preferred(assessed(candidates(a), conflicts, tolerance))
-    out = fields.select("analysis").distinct().join(best, "analysis", "left").join(conflicts.withColumn("c", F.lit(True)), "analysis", "left")
-    decision = F.when(F.col("c"), "conflict").when(F.col("wall").isNull(), "none").when(F.col("eligible"), "eligible").otherwise("review")
-    chosen = decision.isin("eligible", "review")
-    return out.select("analysis", decision.alias("decision"), *(F.when(chosen, F.col(x)).alias(x) for x in ("wall", "nanos", "minutes", "confidence")))
+    best = preferred(assessed(graded(fields.repartition("analysis")), tolerance, untrusted=untrusted))
+    decision = F.when(F.col("conflict"), "conflict").when(F.col("wall").isNull(), "none").when(F.col("eligible"), "eligible").otherwise("review")
+    chosen = F.col("decision").isin("eligible", "review")
+    return best.withColumn("decision", decision).select("analysis", "decision", *(F.when(chosen, F.col(x)).alias(x) for x in ("wall", "nanos", "minutes", "confidence")))

@@ -21,18 +21,16 @@ def fields(spark, sf_dir):
     k = F.col("o_orderkey")
     base = table(spark, sf_dir, "orders").select(k.alias("analysis"), F.col("o_orderdate").alias("t"), (k % 4).alias("r"), (k % 11).alias("d"), (k % 6 == 0).alias("floating"), (k % 7 != 0).alias("verified"))
 
-    def rows(df, source, lineage, kind, raw):
-        return df.select("analysis", F.lit(source).alias("source"), F.lit(lineage).alias("lineage"), F.lit("ifd0").alias("scope"), F.lit(kind).alias("kind"), raw.alias("raw"), "verified")
-
     text = lambda c: F.date_format(c, "yyyy:MM:dd HH:mm:ss")
     shift = F.expr("t + make_interval(0, 0, 0, 0, 0, 0, CASE r WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3600 ELSE 5000 END)")
-    other = base.filter("d < 6")
-    parts = [rows(base, 1, "a", "dto", text("t")), rows(other, 2, "b", "dto", text(shift)), rows(base.filter("d > 3"), 1, "a", "create", text(F.expr("t + INTERVAL 10 SECOND")))]
-    parts += [rows(x.filter("NOT floating"), s, line, "offset", F.lit("+02:00")) for x, s, line in ((base, 1, "a"), (other, 2, "b"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+
+    def one(source, lineage, kind, raw, where=None):
+        row = F.struct(F.lit(source).alias("source"), F.lit(lineage).alias("lineage"), F.lit("ifd0").alias("scope"), F.lit(kind).alias("kind"), raw.alias("raw"))
+        return row if where is None else F.when(where, row)
+
+    zoned, other = ~F.col("floating"), F.col("d") < 6
+    rows = [one(1, "a", "dto", text("t")), one(2, "b", "dto", text(shift), other), one(1, "a", "create", text(F.expr("t + INTERVAL 10 SECOND")), F.col("d") > 3), one(1, "a", "offset", F.lit("+02:00"), zoned), one(2, "b", "offset", F.lit("+02:00"), zoned & other)]
+    return base.select("analysis", F.explode(F.array_compact(F.array(*rows))).alias("x"), "verified").select("analysis", "x.*", "verified")
 
 
 @query(f"WITH {_FIELDS} SELECT analysis, source, kind, wall, minutes, instant, confidence, strong FROM atoms")
@@ -76,10 +74,59 @@ def time_candidates(spark, sf_dir):
   r AS (SELECT *, row_number() OVER (PARTITION BY analysis ORDER BY eligible DESC, c DESC, instant IS NOT NULL DESC, p DESC, wall, minutes) AS n FROM e)
   SELECT analysis, CASE WHEN x THEN 'conflict' WHEN eligible THEN 'eligible' ELSE 'review' END AS decision, CASE WHEN NOT x THEN wall END AS wall, CASE WHEN NOT x THEN CASE c WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END END AS confidence FROM r WHERE n = 1""")
 def time_decisions(spark, sf_dir):
-    """The policy's decision for each analysis."""
+    """The policy's decision for each analysis."""
     return P.decisions(fields(spark, sf_dir)).select("analysis", "decision", "wall", "confidence")
 
 
+_REPORTS = """r AS (SELECT o_orderkey AS analysis, 1 AS source, CASE WHEN o_orderkey % 13 = 0 THEN 'p0' ELSE 'p1' END AS parser, CASE o_orderkey % 8 WHEN 0 THEN 'partial' WHEN 1 THEN 'failed' WHEN 2 THEN 'none' ELSE 'extracted' END AS status,
+  o_orderkey % 17 <> 0 AS budget_ok, o_orderkey % 3 AS fields, CASE WHEN o_orderkey % 10 = 1 THEN 1 ELSE 0 END AS issues, o_orderkey % 19 // 18 AS other_parser, o_orderkey % 23 // 22 AS bad_encoding, o_orderkey % 29 // 28 AS bad_container, o_orderkey % 31 // 30 AS bad_locator FROM orders),
+  every AS (SELECT * FROM r UNION ALL SELECT * FROM r WHERE analysis % 37 = 0),
+  x AS (SELECT *, count(*) OVER (PARTITION BY analysis, source) > 1 AS twice, status IN ('partial', 'failed') AS broken,
+    CASE WHEN status = 'extracted' THEN fields = 0 OR issues > 0 WHEN status IN ('partial', 'failed') THEN fields > 0 ELSE fields > 0 OR issues > 0 END AS wrong FROM every)"""
+
+
+def _reports(spark, sf_dir):
+    k = F.col("o_orderkey")
+    last = lambda n: (k % n == n - 1).cast("bigint")
+    status = F.when(k % 8 == 0, "partial").when(k % 8 == 1, "failed").when(k % 8 == 2, "none").otherwise("extracted")
+    r = table(spark, sf_dir, "orders").select(
+        k.alias("analysis"), F.lit(1).alias("source"), F.when(k % 13 == 0, "p0").otherwise("p1").alias("parser"), status.alias("status"), (k % 17 != 0).alias("budget_ok"), (k % 3).alias("fields"), (k % 10 == 1).cast("bigint").alias("issues"),
+        last(19).alias("other_parser"), last(23).alias("bad_encoding"), last(29).alias("bad_container"), last(31).alias("bad_locator"),
+    )
+    return r.union(r.filter("analysis % 37 = 0"))
+
+
+@query(f"""WITH {_REPORTS} SELECT analysis, concat_ws(',', CASE WHEN twice THEN 'duplicate_source' END, CASE WHEN parser <> 'p1' THEN 'unknown_parser' END, CASE WHEN NOT budget_ok THEN 'budget_contradiction' END, CASE WHEN other_parser > 0 THEN 'parser_mismatch' END,
+  CASE WHEN bad_encoding > 0 THEN 'encoding_mismatch' END, CASE WHEN bad_container > 0 THEN 'container_mismatch' END, CASE WHEN bad_locator > 0 THEN 'locator_mismatch' END, CASE WHEN broken THEN 'report_untrusted' END, CASE WHEN wrong THEN 'report_contradiction' END) AS codes,
+  status <> 'extracted' OR parser <> 'p1' OR NOT budget_ok OR other_parser + bad_encoding + bad_container + bad_locator > 0 OR wrong AS dropped, twice OR broken OR wrong AS untrusted FROM x""")
+def source_trust(spark, sf_dir):
+    """Contradictions of a source's report, those that drop its fields, and those that make the extraction untrusted."""
+    return P.source_trust(_reports(spark, sf_dir), "p1").select("analysis", F.concat_ws(",", "codes").alias("codes"), "dropped", "untrusted")
+
+
+@query(f"""WITH {_REPORTS} SELECT analysis, bool_or(twice OR broken OR wrong OR parser <> 'p1' OR NOT budget_ok OR other_parser + bad_encoding + bad_container + bad_locator > 0) AS conflict FROM x GROUP BY analysis""")
+def global_conflicts(spark, sf_dir):
+    """Any of the fourteen codes on any source makes the analysis a conflict."""
+    some = F.exists("codes", lambda c: c.isin(*P.CONFLICT_CODES))
+    return P.source_trust(_reports(spark, sf_dir), "p1").groupBy("analysis").agg(F.max(some | F.col("untrusted")).alias("conflict"))
+
+
+@query("""WITH b AS (SELECT o_orderkey AS analysis, epoch_us(o_orderdate) // 1000000 - CASE WHEN o_orderkey % 5 = 0 THEN 400000000 ELSE 0 END + CASE WHEN o_orderkey % 7 = 0 THEN 4000000000 ELSE 0 END AS wall, o_orderkey % 3 = 0 AS movie, o_orderkey % 4 <> 0 AS verified, o_orderkey % 11 = 0 AS untrusted FROM orders),
+  c AS (SELECT *, year(make_timestamp(wall * 1000000)) AS y FROM b), x AS (SELECT *, y IN (SELECT unnest(years)) AS sentinel, wall > 4102444800 AS future, wall < 631152000 OR wall > 4102444800 AS outside FROM c, (SELECT [1904, 1970, 1980] AS years))
+  SELECT analysis, concat_ws(',', CASE WHEN NOT movie THEN 'missing_offset' END, CASE WHEN movie THEN 'movie_epoch' END, CASE WHEN sentinel THEN 'sentinel' END, CASE WHEN future THEN 'future' END, CASE WHEN outside THEN 'out_of_range' END) AS anomalies,
+  concat_ws(',', 'not_high', CASE WHEN NOT movie THEN 'no_instant' END, CASE WHEN untrusted THEN 'conflict' END, CASE WHEN sentinel THEN 'sentinel' END, CASE WHEN future THEN 'future' END, CASE WHEN outside THEN 'out_of_range' END, CASE WHEN movie THEN 'movie_epoch' END, CASE WHEN untrusted THEN 'untrusted' END,
+    CASE WHEN NOT verified THEN 'unverified' END) AS blockers FROM x""")
+def evidence_gates(spark, sf_dir):
+    """Anomalies and blockers of one candidate for each analysis, early, late, floating or of a movie header."""
+    k = F.col("o_orderkey")
+    wall = M.seconds("o_orderdate") - F.when(k % 5 == 0, 400000000).otherwise(0) + F.when(k % 7 == 0, 4000000000).otherwise(0)
+    movie = k % 3 == 0
+    raw = F.when(movie, (wall + M.MOVIE_EPOCH).cast("string")).otherwise(F.date_format(F.timestamp_seconds(wall), "yyyy:MM:dd HH:mm:ss"))
+    f = table(spark, sf_dir, "orders").select(k.alias("analysis"), F.lit(1).alias("source"), F.lit("a").alias("lineage"), F.lit("ifd0").alias("scope"), F.when(movie, "mvhd").otherwise("create").alias("kind"), raw.alias("raw"), (k % 4 != 0).alias("verified"))
+    c = P.assessed(P.graded(f.repartition("analysis")), untrusted=f.filter("analysis % 11 = 0"))
+    return c.select("analysis", F.concat_ws(",", "anomalies").alias("anomalies"), F.concat_ws(",", "blockers").alias("blockers"))
+
+
 @query("""WITH m AS (SELECT o_orderkey AS member, o_orderkey * 1000 AS candidate, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey * 1000 + o_orderkey % 5 * 400 END AS birth, o_orderkey * 1000 + o_orderkey % 4 * 500 AS modified FROM orders), r AS (SELECT *, CASE WHEN birth IS NULL THEN NULL ELSE abs(birth - candidate) <= 1000 END AS b, abs(modified - candidate) <= 1000 AS m FROM m)
   SELECT member, CASE WHEN coalesce(b, true) AND m THEN 'matches' ELSE 'differs' END AS by_value, CASE WHEN coalesce(b, false) OR m THEN 'matches' ELSE 'differs' END AS by_rule, (coalesce(b, true) AND m) <> (coalesce(b, false) OR m) AS disagree FROM r""")
 def member_assessments(spark, sf_dir):
