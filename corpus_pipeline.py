@@ -1,4 +1,9 @@
-"""Corpus pipeline: five stages over ``documents``, each written as Parquet before the next reads it."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet before the next reads it.
+
+All stages read whole texts of any length, keep columns they don't know, and give no rows for an empty table. Null and empty
+texts have under 50 words, so the first stage drops them; the others would keep them. Rows without a doc_id pass the
+stages that compare documents unchanged. Repeated rows are judged alike; the third stage keeps one of each doc_id.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,7 @@ from lakesift.llm import bpe, common, decontaminate, line_dedup, ngram_join, qua
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the outlier test reject go."""
+    """Documents that the base rules or the outlier test reject go; null languages and sources are groups of their own."""
     return quality_rules.quality_rules(docs).filter("kept").select(docs.columns)
 
 
@@ -20,12 +25,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar documents stays."""
+    """One document of each component of similar documents stays, that with the least doc_id."""
     return ngram_join.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null and empty items are in none."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
