@@ -152,8 +152,9 @@ def ngram_join(docs: DataFrame, *, text: str = "text", most_star_rounds: int = 8
        and a group of thousands of near copies costs about one comparison for each.
 
     ``component_id`` is the least doc_id that links reach. Null and empty texts have no shingles and stay alone.
-    Each row is judged by its own text; repeated rows get equal results. A row without doc_id gets the component of
-    its class, or null. An empty table gives no rows.
+    Repeated rows get equal results. Rows with one doc_id and different texts are one document: each has the size of its
+    own set, and links of any of them count for all (but not for a row without shingles). A row without doc_id gets the
+    component of its class, or null. An empty table gives no rows.
     """
     levels = frequency_levels(docs, text)
     sets = store(shingle_sets(docs, levels, text))
@@ -215,6 +216,9 @@ def ngram_join(docs: DataFrame, *, text: str = "text", most_star_rounds: int = 8
         before = across
         if last:
             break
+    same = _one_id(rows, classes)
+    if not same.isEmpty():
+        links = same if links is None else links.union(same)
     rows = rows.join(classes.select("s1", "s2", "node"), ["s1", "s2"], "left")
     if links is not None:
         rows = rows.join(store(components(links)), "node", "left")
@@ -224,6 +228,14 @@ def ngram_join(docs: DataFrame, *, text: str = "text", most_star_rounds: int = 8
     return rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
 
 
+def _one_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` between classes that have rows with one doc_id; usually none."""
+    span = [f(c).alias(f"{name}_{c}") for c in ("s1", "s2") for name, f in (("least", F.min), ("most", F.max))]
+    several = store(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(*span).filter("least_s1 != most_s1 OR least_s2 != most_s2").select("doc_id"))
+    held = rows.join(several, "doc_id", "left_semi").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("doc_id", "node").distinct()
+    return store(held.join(held.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("a != node").select("a", F.col("node").alias("b")).distinct())
+
+
 def _enough(n: Column, pos: Column, m: Column, at: Column) -> Column:
     """Whether two sets can be similar if they first meet, in order 1, at these positions: what stands before is not shared."""
     return F.least(n - pos, m - at) >= F.floor((4 * (n + m) + 8) / 9)

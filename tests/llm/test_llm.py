@@ -210,6 +210,18 @@ def test_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == components_by_hand(items)
 
 
+def test_ngram_join_with_several_texts_of_one_id(spark):
+    """All texts of a doc_id count for it: 3 and 7 meet in 5, 2 meets 5's second text, empty rows stay alone."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (7, b), (3, a), (15, a + " x"), (15, c), (12, c + " y"), (15, ""), (20, None), (None, c)]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(
+        [(5, 56, 3), (5, 56, 3), (7, 56, 3), (3, 56, 3), (15, 57, 3), (15, 56, 3), (12, 57, 3), (15, 0, 15), (20, 0, 20), (None, 56, 3)], key=str
+    )
+    apart = [(5, a), (9, a), (5, b), (2, b + " x")]
+    assert {r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(apart, "doc_id bigint, text string")).collect()} == {2}
+
+
 def test_order_filter_loses_nothing():
     rng = np.random.default_rng(4)
     for _ in range(300):
