@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakesift.llm.common import REMEMBERED, working_on
+
 NO_PAIR = 1 << 62
 
 
@@ -130,10 +132,12 @@ class Codec:
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
+REMEMBERED["bpe"] = _CODECS.clear
 
 
 def codec(vocabulary: bytes, pattern: str) -> Codec:
     """One codec for each Python worker and vocabulary, so that its memory lasts over many tasks."""
+    working_on("bpe")
     key = (hashlib.sha256(vocabulary).hexdigest(), pattern)
     if key not in _CODECS:
         _CODECS.clear()

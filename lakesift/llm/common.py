@@ -6,7 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,6 +64,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: What empties a Python worker's memory for each operator that remembers something between tasks.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+_LATEST: list[str] = []
+
+
+def working_on(operator: str) -> None:
+    """For the start of a task: a worker forgets what it remembers for other operators, so that its memory is that of one."""
+    if _LATEST != [operator]:
+        _LATEST[:] = [operator]
+        for other, forget in REMEMBERED.items():
+            if other != operator:
+                forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 FILTER_BITS, FILTER_SLOTS = 23, 128
 
 

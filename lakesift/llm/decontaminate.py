@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm.bpe import slices
-from lakesift.llm.common import WordHashes, mix, shingles
+from lakesift.llm.common import REMEMBERED, WordHashes, mix, shingles, working_on
 
 FILTER_BITS = 20
 MOST_FUNCTIONS = 256  # beyond these, candidates of a partition come from the inverted index
@@ -111,6 +111,14 @@ def _index(token: str, block: tuple[list, list[np.ndarray]]) -> Index:
     return _WORKER[token]
 
 
+def _forget() -> None:
+    _HASHES.clear()
+    _WORKER.clear()
+
+
+REMEMBERED["decontamination"] = _forget
+
+
 def contained_items(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", block_bytes: int = 8_000_000) -> DataFrame:
     """``doc_id``, ``item_id``, ``n_item`` and ``n_shared`` for each pair where a document has at least 0.8 of an item's
 
@@ -134,6 +142,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, *, text: str = "text"
         sent, token = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
+            working_on("decontamination")
             index = _index(token, sent.value)
             for batch in batches:
                 for part in slices(batch, 1):
@@ -159,6 +168,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         sent, token = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
+            working_on("decontamination")
             index = _index(token, sent.value)
             for batch in batches:
                 last = batch.num_columns - 1

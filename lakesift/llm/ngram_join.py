@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesift.llm.bpe import slices
-from lakesift.llm.common import WordHashes, discard, members_only, membership, release, shingles, store
+from lakesift.llm.common import REMEMBERED, WordHashes, discard, members_only, membership, release, shingles, store, working_on
 from lakesift.llm.components import components
 
 BITS = 22  # the sketch of shingle frequencies has 2**BITS counters, whatever the input
 SLOTS = 512  # so that one row of counters is small
 _HASHES = WordHashes()
+REMEMBERED["ngram_join"] = _HASHES.clear
 
 
 def _texts(docs: DataFrame, text: str, *more: str) -> DataFrame:
@@ -32,6 +33,7 @@ def frequency_levels(docs: DataFrame, text: str = "text") -> np.ndarray:
     width = (1 << BITS) // SLOTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("ngram_join")
         total = np.zeros(1 << BITS, dtype=np.uint32)
         for batch in batches:
             for part in slices(batch, 0):
@@ -75,6 +77,7 @@ def shingle_sets(docs: DataFrame, levels: np.ndarray, text: str = "text") -> Dat
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *values])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("ngram_join")
         level = sent.value
         for batch in batches:
             for part in slices(batch, 1):
@@ -127,6 +130,7 @@ def _other_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep pairs whose whole texts have a similarity of 0.8 or more."""
+    working_on("ngram_join")
     last, left = None, None
     for batch in batches:
         for part in slices(batch, 2):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm.bpe import slices
-from lakesift.llm.common import fresh, store
+from lakesift.llm.common import fresh, store, working_on
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_distinct")
 _SYMBOLS = b"#*$%&|<>"
@@ -68,6 +68,7 @@ def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("quality_rules")
         for batch in batches:
             for part in slices(batch, batch.num_columns - 1):
                 rows = np.array([text_statistics(t) for t in part.column(part.num_columns - 1).to_pylist()], dtype=np.int64).reshape(-1, len(STATS))
