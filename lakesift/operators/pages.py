@@ -68,6 +68,22 @@ def fetch(df: DataFrame, keys: list[tuple[str, bool]], limit: int, endpoint: str
     return rows, Cursor(endpoint, scope, tuple(rows[-1][k] for k, _ in keys)).encode() if more else None
 
 
+class Pages:
+    """What a client holds of a listing: each page it accepts takes the place of the last."""
+
+    def __init__(self, limit: int):
+        self.limit, self.rows, self.cursor, self._seen = limit, [], None, set()
+
+    def replace(self, rows: list, cursor: str | None) -> None:
+        """An error, with nothing replaced, if a page has too many rows, names a cursor already seen, or is empty but says that more follow."""
+        if len(rows) > self.limit:
+            raise ValueError("page exceeds its limit")
+        if cursor is not None and (cursor in self._seen or not rows):
+            raise ValueError("cursor does not advance")
+        self._seen.add(cursor)
+        self.rows, self.cursor = rows, cursor
+
+
 def page_bytes(rows: DataFrame, *columns: str) -> DataFrame:
     """Bytes of a page before it is read, and whether they fit the budget."""
     total = F.coalesce(F.sum(reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(c), F.lit(0)) for c in columns))), F.lit(0))

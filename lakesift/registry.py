@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from lakesift.plans import containers, duplicates, entries, history, pages, relational, scalars, states, streams, timing  # noqa: F401
+    from lakesift.plans import containers, duplicates, entries, history, lifecycle, pages, relational, scalars, states, streams, timing  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -187,6 +187,39 @@ class Store:
         key = BUILDS[name][0]
         self.transition(name, key, value, self._draft(name, key, value), "abandoned")
 
+    def upsert_volume(self, volume: int, identity: str, observed_ms: int) -> None:
+        """Insert a volume, or do nothing if it is known; another identity for the same volume is an error."""
+        known = self.read("volumes").filter(F.col("volume") == volume).first()
+        if known is None:
+            self.append("volumes", self._rows("volumes", {"volume": volume, "identity": identity, "observed_ms": observed_ms}))
+        elif known.identity != identity:
+            raise ValueError(f"volume {volume} has another identity")
+
+    def recovery(self, scope: str) -> tuple[str, int | None]:
+        """``none``, ``unique`` with the run, or ``ambiguous``: interrupted runs of the scope's jobs that no later run has as parent."""
+        jobs = self.current("jobs", "job").filter(F.col("scope") == scope).select("job")
+        runs = self.current("runs", "run").join(jobs, "job", "left_semi")
+        followed = runs.select(F.col("parent").alias("run"))
+        left = [r.run for r in runs.filter("state = 'interrupted'").join(followed, "run", "left_anti").select("run").take(2)]
+        return ("none", None) if not left else ("unique", left[0]) if len(left) == 1 else ("ambiguous", None)
+
+    def start_attempt(self, volume: int, identity: str, scope: str, config: str, at_ms: int) -> int:
+        """Bind the volume, choose what to recover, and bring a new job and run, of the number after the highest, to running.
+
+        Of two starts at once one fails, as a job's and a run's first version can be claimed once only.
+        """
+        self.upsert_volume(volume, identity, at_ms)
+        kind, parent = self.recovery(scope)
+        if kind == "ambiguous":
+            raise ValueError(f"{scope}: several runs could be recovered")
+        job, run = (self.read(n).agg(F.coalesce(F.max(k), F.lit(0))).first()[0] + 1 for n, k in (("jobs", "job"), ("runs", "run")))
+        self._claimed("jobs", job, 1, self._rows("jobs", {"job": job, "volume": volume, "scope": scope, "config": config, "state": "queued", "version": 1}))
+        row = {"run": run, "job": job, "parent": parent, "state": "queued", "version": 1, "started_ms": at_ms, "finished_ms": None, "coverage": None}
+        self._claimed("runs", run, 1, self._rows("runs", row))
+        self.transition("jobs", "job", job, 1, "running")
+        self.transition("runs", "run", run, 1, "running")
+        return run
+
     def acquire_lease(self, run: int, session: str, at_ms: int) -> None:
         """Bind a session to a run that no other holds."""
         held = self.current("leases", "run").filter(F.col("run") == run).first()

@@ -73,3 +73,16 @@ def test_drafts_leases_and_checkpoints(spark, tmp_path):
         s.append_new(name, rows([row], SCHEMAS[name]))
         s.append_new(name, rows([row], SCHEMAS[name]))
         assert s.read(name).count() == 1
+
+
+def test_start_attempt(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    first = store.start_attempt(1, "disk", "photos", "{}", 10)
+    assert (first, store.recovery("photos")) == (1, ("none", None))
+    store.transition("runs", "run", first, 2, "interrupted")
+    assert store.recovery("photos") == ("unique", 1)
+    with pytest.raises(ValueError, match="another identity"):
+        store.start_attempt(1, "other disk", "photos", "{}", 20)
+    second = store.start_attempt(1, "disk", "photos", "{}", 20)
+    row = store.current("runs", "run").filter(F.col("run") == second).first()
+    assert (row.parent, row.state, row.job, store.recovery("photos")) == (1, "running", 2, ("none", None))
