@@ -1,7 +1,8 @@
 """Capture-time evidence: atoms from fields, conflicts, candidates and a decision, without guessing zones.
 
 ``fields``: ``analysis``, ``source``, ``lineage``, ``scope``, ``kind`` (``dto``, ``offset``, ``subsec``, ``create``, ``modify``, ``qt_text``, ``mvhd``),
-``raw`` (text), ``verified`` (boolean). All steps are keyed by analysis and run for all analyses at once.
+``raw`` (text), ``verified`` (boolean). All steps are keyed by analysis and run for all analyses at once; tables that are ``dealt`` by analysis
+before their fields are made are shuffled just once, and no task holds more than a fixed number of their rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,12 @@ from lakesift.functions import time as M
 LEVELS = ("conflict", "low", "medium", "high")
 PRIORITY = {"dto": 5, "qt_text": 4, "create": 3, "modify": 2, "mvhd": 1}
 TOLERANCE = 2  # seconds; callers may set up to 5
+ROWS = 1 << 14  # analyses of one task, about
+
+
+def dealt(df: DataFrame, key: str = "analysis", rows: int = ROWS) -> DataFrame:
+    """``df`` dealt by ``key`` into as many partitions as its rows need, so that the memory of a task doesn't grow with the table."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)
 
 
 def rank(confidence: Column) -> Column:
@@ -137,7 +144,7 @@ def source_trust(reports: DataFrame, parser: str) -> DataFrame:
 
 
 def assessed(g: DataFrame, tolerance: int = TOLERANCE, future_after: int = 4102444800, since: int = 631152000, untrusted: DataFrame | None = None) -> DataFrame:
-    """Candidates of graded fields with anomalies, blockers (none: eligible) and near ambiguity; one shuffle, by analysis.
+    """Candidates of graded fields with anomalies, blockers (none: eligible) and near ambiguity; no shuffle if they are dealt by analysis.
 
     An analysis without any time gives one row with a null ``wall``. ``since`` and ``future_after`` bound the automatic range. Analyses in
     ``untrusted`` have reports that can't be trusted. Instants are compared with each other, floating times on the wall scale.
@@ -183,7 +190,7 @@ def preferred(c: DataFrame) -> DataFrame:
 
 def decisions(fields: DataFrame, tolerance: int = TOLERANCE, untrusted: DataFrame | None = None) -> DataFrame:
     """``conflict``, ``none``, ``eligible`` or ``review`` for each analysis, and the time selected by the last two."""
-    best = preferred(assessed(graded(fields.repartition("analysis")), tolerance, untrusted=untrusted))
+    best = preferred(assessed(graded(fields), tolerance, untrusted=untrusted))
     decision = F.when(F.col("conflict"), "conflict").when(F.col("wall").isNull(), "none").when(F.col("eligible"), "eligible").otherwise("review")
     chosen = F.col("decision").isin("eligible", "review")
     return best.withColumn("decision", decision).select("analysis", "decision", *(F.when(chosen, F.col(x)).alias(x) for x in ("wall", "nanos", "minutes", "confidence")))

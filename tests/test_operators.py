@@ -219,6 +219,22 @@ def test_overlaps_are_found_once(spark, monkeypatch):
         assert rows is several or "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
 
 
+def test_time_policy_deals_analyses_once(spark, tmp_path, monkeypatch):
+    """As many partitions as the rows need, of about equal size, and no other shuffle of what is derived from them."""
+    from lakesift.operators import timepolicy
+    from lakesift.plans import timing
+
+    monkeypatch.setattr(timepolicy.dealt, "__defaults__", ("analysis", 50))
+    spark.range(1000).selectExpr("id AS o_orderkey", "timestamp_seconds(1500000000 + 1000 * id) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(timing, "table", lambda spark, sf_dir, name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    for query in (timing.time_decisions, timing.lineage_conflicts, timing.time_candidates, timing.time_conflicts, timing.evidence_gates):
+        df = query(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        assert shuffles and all("REPARTITION_BY_NUM" in x and ", 20)" in x for x in shuffles), (query.__name__, shuffles)
+    assert len(shuffles) == 2  # evidence_gates also reads the analyses that aren't trusted
+
+
 def test_first_difference_wherever_it_is(spark, tmp_path):
     from lakesift.plans import duplicates
 
