@@ -123,12 +123,12 @@ def global_conflicts(spark, sf_dir):
     CASE WHEN NOT verified THEN 'unverified' END) AS blockers FROM x""")
 def evidence_gates(spark, sf_dir):
     """Anomalies and blockers of one candidate for each analysis, early, late, floating or of a movie header."""
-    k = F.col("o_orderkey")
+    k = F.col("analysis")
     wall = M.seconds("o_orderdate") - F.when(k % 5 == 0, 400000000).otherwise(0) + F.when(k % 7 == 0, 4000000000).otherwise(0)
     movie = k % 3 == 0
     raw = F.when(movie, (wall + M.MOVIE_EPOCH).cast("string")).otherwise(F.date_format(F.timestamp_seconds(wall), "yyyy:MM:dd HH:mm:ss"))
-    f = table(spark, sf_dir, "orders").select(k.alias("analysis"), F.lit(1).alias("source"), F.lit("a").alias("lineage"), F.lit("ifd0").alias("scope"), F.when(movie, "mvhd").otherwise("create").alias("kind"), raw.alias("raw"), (k % 4 != 0).alias("verified"))
-    c = P.assessed(P.graded(f.repartition("analysis")), untrusted=f.filter("analysis % 11 = 0"))
+    f = _analyses(spark, sf_dir).select(k, F.lit(1).alias("source"), F.lit("a").alias("lineage"), F.lit("ifd0").alias("scope"), F.when(movie, "mvhd").otherwise("create").alias("kind"), raw.alias("raw"), (k % 4 != 0).alias("verified"))
+    c = P.assessed(P.graded(f), untrusted=f.filter("analysis % 11 = 0"))
     return c.select("analysis", F.concat_ws(",", "anomalies").alias("anomalies"), F.concat_ws(",", "blockers").alias("blockers"))
 
 
