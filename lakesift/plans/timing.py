@@ -57,8 +57,10 @@ def time_conflicts(spark, sf_dir):
 def lineage_conflicts(spark, sf_dir):
     """Lineages that state two times; a planted second time must be found, an equal instant must not."""
     f = fields(spark, sf_dir)
-    planted = f.filter((F.col("analysis") % 10 == 3) & (F.col("kind") == "dto") & (F.col("source") == 1)).withColumn("raw", F.lit("2001:01:01 00:00:00")).withColumn("source", F.lit(3))
-    return P.lineage_conflicts(P.atoms(f.union(planted)))
+    row = lambda **new: F.struct(*(new.get(c, F.col(c)).alias(c) for c in f.columns))
+    planted = F.when((F.col("analysis") % 10 == 3) & (F.col("kind") == "dto") & (F.col("source") == 1), row(raw=F.lit("2001:01:01 00:00:00"), source=F.lit(3)))
+    both = f.select("analysis", F.explode(F.array_compact(F.array(row(), planted))).alias("x"))
+    return P.lineage_conflicts(P.atoms(both.select("analysis", *(f"x.{c}" for c in f.columns if c != "analysis"))))
 
 
 @query(f"""WITH {_FIELDS} SELECT analysis, wall, minutes, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, array_to_string(list_sort(list_distinct(list(lineage))), ',') AS lineages,
