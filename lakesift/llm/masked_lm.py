@@ -107,35 +107,35 @@ class Network:
     def log_likelihood(self, around: np.ndarray, target: np.ndarray, step: tuple | None = None) -> np.ndarray:
         """ln p of each target class given rows of the neighbours; with ``step`` (state and rate) also one AdaGrad step on their mean."""
         n = len(target)
-        h = self.places[0][around[0]]
+        h = self.places[0].take(around[0], axis=0)
         for k in range(1, 2 * REACH):
-            h += self.places[k][around[k]]
+            h += self.places[k].take(around[k], axis=0)
         h += self.b
-        np.tanh(h, out=h)
-        z = h @ self.out[:-1]
-        z += self.out[-1]
+        seen = np.ones((n, len(self.out)), h.dtype)  # the last column is that of the bias
+        h = np.tanh(h, out=seen[:, :-1])
+        z = seen @ self.out
         if np.abs(self.out).sum(axis=0).max() > 60:  # else no exponential can overflow, as h lies between -1 and 1
             z -= z.max(axis=1, keepdims=True)
         rows = np.arange(n)
         chosen = z[rows, target]
         np.exp(z, out=z)
-        total = z.sum(axis=1, keepdims=True)
-        value = chosen - np.log(total[:, 0])
+        total = z @ np.ones(z.shape[1], z.dtype)
+        value = chosen - np.log(total)
         if step is not None:
             sums, rate = step
-            z /= total
-            z[rows, target] -= 1
-            z /= n
+            z /= (total * n)[:, None]
+            z[rows, target] -= 1 / n
             dh = z @ self.out[:-1].T
-            _adagrad(self.out, np.vstack([h.T @ z, z.sum(axis=0)]), sums.out, rate)
+            _adagrad(self.out, seen.T @ z, sums.out, rate)
             dh *= 1 - h * h
             _adagrad(self.b, dh.sum(axis=0), sums.b, rate)
             for k in range(2 * REACH):
                 order, first = _groups(around[k])
-                g, at = np.add.reduceat(dh[order], first, axis=0), around[k][order[first]]
-                square = sums.places[k][at] + np.einsum("ij,ij->i", g, g)[:, None] / HIDDEN
+                g, at = _sums(dh, order, first), around[k].take(order.take(first))
+                square = sums.places[k].take(at, axis=0) + np.einsum("ij,ij->i", g, g)[:, None] / HIDDEN
                 sums.places[k][at] = square
-                self.places[k][at] -= rate * g / np.sqrt(square)
+                g *= rate / np.sqrt(square)
+                self.places[k][at] = self.places[k].take(at, axis=0) - g
                 sums.hits[0].reshape(2 * REACH, -1)[k][at] += 1
             sums.hits[1] += 1
             sums.hits[2] += 1
@@ -158,6 +158,21 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.append(True, k[1:] != k[:-1]))
 
 
+def _sums(dh: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of the rows of each group. Most groups are small, so it goes by places in a group; reduceat sums large ones only."""
+    size = np.diff(first, append=len(order))
+    g = dh.take(order.take(first), axis=0)
+    some = np.flatnonzero((size > 1) & (size <= 8))
+    for k in range(1, 8):
+        g[some] += dh.take(order.take(first[some] + k), axis=0)
+        some = some[size[some] > k + 1]
+    large = np.flatnonzero(size > 8)
+    if len(large):
+        ends = np.cumsum(size[large])
+        g[large] = np.add.reduceat(dh.take(order[np.repeat(size > 8, size)], axis=0), ends - size[large], axis=0)
+    return g
+
+
 def _adagrad(w: np.ndarray, g: np.ndarray, s: np.ndarray, rate: float) -> None:
     s += g * g
     w -= rate * g / np.sqrt(s)

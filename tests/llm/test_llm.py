@@ -566,6 +566,18 @@ def test_masked_lm_gradient():
     assert net.log_likelihood(around, target).mean() > first + 0.5
 
 
+def test_masked_lm_sums_of_groups():
+    """Groups of one row, of few and of many, against plain sums in order; none at all."""
+    rng = np.random.default_rng(9)
+    for keys in (np.repeat(np.arange(40), np.arange(1, 41)), np.zeros(30, int), np.arange(25), rng.integers(0, 300, 900), np.repeat([3, 5, 8], [8, 9, 7])):
+        keys = rng.permutation(keys)
+        rows = rng.standard_normal((len(keys), 4)).astype(np.float32)
+        got = masked_lm._sums(rows, *masked_lm._groups(keys))
+        assert got.dtype == rows.dtype and len(got) == len(set(keys.tolist()))
+        for g, key in zip(got, sorted(set(keys.tolist()))):
+            assert np.allclose(g, rows[keys == key].astype(float).sum(axis=0), atol=1e-5)
+
+
 def test_bitmap(spark):
     ids = spark.range(100).toDF("k")
     bits = common.membership(ids, "k")
