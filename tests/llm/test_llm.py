@@ -538,6 +538,114 @@ def test_masked_lm_by_hand(spark, monkeypatch):
         assert abs(r.log_likelihood - sum(np.log(probability((w[i - 2], w[i - 1], w[i + 1], w[i + 2]), w[i])) for i in range(2, len(w) - 2))) < 1e-3
 
 
+def test_masked_lm_tells_words_of_a_class_apart(spark, monkeypatch):
+    """With one class for all listed words only what divides it can see that a word doesn't fit its neighbours."""
+    monkeypatch.setattr(masked_lm, "CLASSES", 2)
+    rng = random.Random(8)
+    pairs = spark.createDataFrame([(i, " ".join(f"l{k} r{k}" for k in (rng.randrange(6) for _ in range(150)))) for i in range(200)], "doc_id bigint, text string")
+    lexicon = masked_lm.lexicon_of(masked_lm.word_counts(pairs))
+    net = masked_lm.train(pairs.coalesce(1), lexicon, rounds=2)
+    right, wrong = (masked_lm.score_texts([t.encode()], masked_lm.Codes(lexicon), net)[1][0] for t in ("l1 r1 l2 r2 l3 r3", "l1 r2 l2 r3 l3 r1"))
+    assert right > wrong + 1
+
+
+def test_masked_lm_within_classes_by_hand(spark, monkeypatch):
+    """Parts and branches by plain loops; all words of a class together have its probability, also words that aren't listed."""
+    for name, value in (("LISTED", 20), ("OWN", 8), ("SHARED", 4), ("PAD", 12), ("CLASSES", 4), ("SUBS", 3), ("LEAST", 8)):
+        monkeypatch.setattr(masked_lm, name, value)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"a{k}" for k in range(30)], weights=range(1, 31), k=60)) for _ in range(30)] + [f"once{k} pair{k} pair{k} tail{k % 5}" for k in range(12)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    lexicon = masked_lm.lexicon_of(masked_lm.word_counts(docs))
+    tree, net = lexicon.tree, masked_lm.train(docs, lexicon)
+    counts = Counter(w for t in texts for w in (t or "").split())
+    code = {w: masked_lm.Codes(lexicon)[w.encode()] for w in counts}
+
+    def branches(w):
+        return [(int(x) >> 1, int(x) & 1) for x in tree.path[tree.first[code[w]] :][: tree.depth[code[w]]]]
+
+    def place(w):
+        return lexicon.cls[code[w]], tree.part[code[w]], tuple(branches(w))
+
+    left = Counter()
+    for w, c in counts.items():
+        left[place(w)] += c
+    assert sum(len({w for w in counts if place(w) == x}) > 1 for x in left) >= 1 and sum(len(x[2]) > 1 for x in left) > 5  # some words stay together, most are told apart
+    assert all(n < 8 or len({code[w] for w in counts if place(w) == x}) == 1 for x, n in left.items())
+
+    def hidden(around):
+        return np.append(np.tanh(sum(net.places[k][lexicon.row[code[x]] if x else 12].astype(float) for k, x in enumerate(around)) + net.b), 1.0)
+
+    def probability(around, w):
+        h, (cls, part, path) = hidden(around), place(w)
+        a, b = np.exp(h @ net.out.astype(float)), np.exp(h @ net.inner[cls].astype(float))
+        p = a[cls] / a.sum() * b[part] / b.sum()
+        for node, side in path:
+            p /= 1 + np.exp((1 - 2 * side) * (h @ net.nodes[node].astype(float)))
+        return p * counts[w] / left[place(w)]
+
+    for around in (("a1", "a2", "a3", "once1"), (None, None, "a7", "pair2")):
+        a = np.exp(hidden(around) @ net.out.astype(float))
+        assert all(abs(sum(probability(around, w) for w in counts if place(w)[0] == c) - a[c] / a.sum()) < 1e-6 for c in {place(w)[0] for w in counts})
+    one, other = (probability(x, "a29") / probability(x, "a1") for x in (("a1", "a2", "a3", "a4"), ("a9", "a8", "a7", "a6")))
+    assert abs(one - other) > 1e-6
+    for r in masked_lm.pseudo_likelihood(docs, keep=["doc_id"]).collect():
+        w = [None, None, *(texts[r.doc_id] or "").split(), None, None]
+        assert abs(r.log_likelihood - sum(np.log(probability((w[i - 2], w[i - 1], w[i + 1], w[i + 2]), w[i])) for i in range(2, len(w) - 2))) < 1e-3
+
+
+def test_masked_lm_gradient_within_classes():
+    """Steps on parts and branches go along the gradient, and what they send back to the input too."""
+    rng = np.random.default_rng(4)
+    cls, counts = np.repeat(np.arange(masked_lm.CLASSES), 300), rng.integers(1, 300, 300 * masked_lm.CLASSES)
+    tree = masked_lm.Tree.of(cls, counts)
+    net = masked_lm.Network(*(x.astype(np.float64) for x in vars(masked_lm.Network.start(np.bincount(cls, counts), tree)).values()))
+    net.inner += rng.normal(0, 0.2, net.inner.shape)
+    net.nodes += rng.normal(0, 0.2, net.nodes.shape)
+    codes = np.sort(rng.integers(0, len(cls), 64))
+    around, target = list(rng.integers(0, 50, (4, 64)).astype(np.int32)), cls[codes]
+    state = masked_lm.State(net)
+    for k in ("places", "b", "out", "inner", "nodes"):
+        setattr(state, k, getattr(state, k).astype(np.float64))
+    moved = masked_lm.Network(*(x.copy() for x in vars(net).values()))
+    moved.log_likelihood(around, target, (state, 0.05), (tree, codes))
+    node = int(tree.path[tree.first[codes[9]]] >> 1)
+    assert tree.depth[codes[9]] > 1
+    for name, at in (("places", (1, int(around[1][0]), 3)), ("b", (5,)), ("inner", (int(target[9]), 2, int(tree.part[codes[9]]))), ("inner", (int(target[9]), masked_lm.HIDDEN, 1)), ("nodes", (node, 4)), ("nodes", (node, masked_lm.HIDDEN))):
+        value = []
+        for d in (1e-5, -1e-5):
+            other = masked_lm.Network(*(x.copy() for x in vars(net).values()))
+            getattr(other, name)[at] += d
+            value.append(other.log_likelihood(around, target, words=(tree, codes)).mean())
+        slope = (value[0] - value[1]) / 2e-5
+        assert np.sign(getattr(moved, name)[at] - getattr(net, name)[at]) == np.sign(slope)
+        if name in ("b", "inner"):
+            assert abs(np.sqrt(getattr(state, name)[at] - 1e-6) - abs(slope)) < 1e-5
+    assert moved.log_likelihood(around, target, words=(tree, codes)).mean() > net.log_likelihood(around, target, words=(tree, codes)).mean()
+
+
+def test_masked_lm_words_in_bulk(monkeypatch):
+    """Words looked up all at once, before and after the table is emptied, against a plain split; null and empty texts between."""
+    rng = random.Random(6)
+    words = [b"a" * n for n in (*range(1, 30), 63, 64, 65, 66, 200)] + [b"b" * 64 + b"c", b"b" * 64 + b"d", b"\x00", b"a\x00", b"\x1c", b"\x85\xa0", "é漢字".encode(), b"ABC"] + [b"w%d" % k for k in range(900)]
+    texts = [None, b"", b" \t\n\v\f\r", *(b"\t \v".join(rng.choices(words, k=60)) + rng.choice([b"", b" \r\f"]) for _ in range(50)), None, b"end"]
+    h = np.sort(np.array([masked_lm.xxhash.xxh3_64_intdigest(w.lower()) for w in words[::2]], np.uint64))
+    z = np.zeros(masked_lm.RARE + len(h), np.int32)
+    lexicon = masked_lm.Lexicon(h, np.arange(len(h), dtype=np.int32)[::-1], z, z, z, z, masked_lm.Tree.of(z, z))
+    keys_of = masked_lm.word_keys
+    for most, bits in ((400_000, 64), (300, 64), (0, 64), (400_000, 47), (400_000, 44)):  # few bits: many words for few slots
+        monkeypatch.setattr(masked_lm, "word_keys", lambda *x, bits=bits: keys_of(*x) >> np.uint64(64 - bits) | np.uint64(1))
+        monkeypatch.setattr(masked_lm.Codes, "MOST", most)
+        codes = masked_lm.Codes(lexicon)
+        for _ in range(2):
+            for some in (texts, texts[::-1], [], [None], [b"one"]):
+                found, at, owner, hashes = masked_lm.windows(some, codes)
+                plain = [(k, w) for k, t in enumerate(some) for w in (t or b"").lower().split()]
+                assert owner.tolist() == [k for k, _ in plain] and hashes.tolist() == [masked_lm.xxhash.xxh3_64_intdigest(w) for _, w in plain]
+                assert found[at].tolist() == [lexicon.code_of(w) for _, w in plain]
+                assert len(found) == len(plain) + masked_lm.REACH * (len(some) + 1) and (np.delete(found, at) == -1).all()
+
+
 def test_masked_lm_gradient():
     """One step goes along the gradient, found by differences; steps on a batch make it likelier."""
     rng = np.random.default_rng(4)
