@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -135,8 +134,8 @@ class Codes:
 
     SLOTS, MOST, PROBES = 1 << 20, 400_000, 16
 
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
+    def __init__(self, lexicon: Lexicon | None):
+        self.lexicon = lexicon  # without one only hashes are given
         self.clear()
 
     def clear(self) -> None:
@@ -165,7 +164,7 @@ class Codes:
             new, first, which = np.unique(keys[rest], return_index=True, return_inverse=True)
             one = rest[first]
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(start[one].tolist(), end[one].tolist())), np.uint64, len(one))
-            codes = self.lexicon.codes_of(hashes)
+            codes = np.zeros(len(hashes), np.int32) if self.lexicon is None else self.lexicon.codes_of(hashes)
             code[rest], h[rest] = codes[which], hashes[which]
             self.remember(new[: self.MOST], codes, hashes)
         return code, h
@@ -189,6 +188,10 @@ _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
 
 
+def lower_case(texts: list[bytes | None]) -> bytes:
+    return b"\n".join([t or b"" for t in texts]).lower()
+
+
 def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where each word begins and ends."""
     inside = np.zeros(len(text) + 2, np.int8)
@@ -305,7 +308,7 @@ class Network:
         classes = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
         z, part = np.empty((n, self.inner.shape[2]), seen.dtype), tree.part[codes]
         for c, some in classes:
-            np.matmul(seen[some], self.inner[c], out=z[some])
+            np.dot(seen[some], self.inner[c], out=z[some])
         if np.abs(self.inner).sum(axis=1).max() > 80:
             z -= z.max(axis=1, keepdims=True)
         chosen = z[rows, part]
@@ -326,8 +329,8 @@ class Network:
         held = [c for c, _ in classes]
         g = np.empty((len(held), *self.inner.shape[1:]), seen.dtype)
         for k, (c, some) in enumerate(classes):
-            np.matmul(z[some], self.inner[c, :-1].T, out=down[some])
-            np.matmul(seen[some].T, z[some], out=g[k])
+            np.dot(z[some], self.inner[c, :-1].T, out=down[some])
+            np.dot(seen[some].T, z[some], out=g[k])
         square = sums.inner[held] + g * g
         sums.inner[held] = square
         self.inner[held] -= rate * g / np.sqrt(square)
@@ -365,18 +368,20 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums(dh: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum of the rows of each group. Most groups are small, so it goes by places in a group; reduceat sums large ones only."""
+    """Sum of the rows of each group. Most groups are small, so it goes by places in a group, largest groups first; reduceat sums large ones only."""
     size = np.diff(first, append=len(order))
+    by = np.argsort((9 - np.minimum(size, 9)).astype(np.uint8), kind="stable")
+    size, first = size[by], first[by]
     g = dh.take(order.take(first), axis=0)
-    some = np.flatnonzero((size > 1) & (size <= 8))
-    for k in range(1, 8):
-        g[some] += dh.take(order.take(first[some] + k), axis=0)
-        some = some[size[some] > k + 1]
-    large = np.flatnonzero(size > 8)
-    if len(large):
-        ends = np.cumsum(size[large])
-        g[large] = np.add.reduceat(dh.take(order[np.repeat(size > 8, size)], axis=0), ends - size[large], axis=0)
-    return g
+    *above, large = np.searchsorted(-np.minimum(size, 9), -np.arange(1, 9)).tolist()  # how many have more than 1 to 8 rows
+    for k, end in enumerate(above, 1):
+        g[large:end] += dh.take(order.take(first[large:end] + k), axis=0)
+    if large:
+        ends = np.cumsum(size[:large])
+        g[:large] = np.add.reduceat(dh.take(order.take(_stretches(first[:large], first[:large] + size[:large])), axis=0), ends - size[:large], axis=0)
+    out = np.empty_like(g)
+    out[by] = g
+    return out
 
 
 def _adagrad_rows(w: np.ndarray, at: np.ndarray, g: np.ndarray, s: np.ndarray, rate: float) -> None:
@@ -395,7 +400,7 @@ def _adagrad(w: np.ndarray, g: np.ndarray, s: np.ndarray, rate: float) -> None:
 def windows(texts: list[bytes | None], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(codes of words with -1 around each text, positions of words, number of the text of each position, hash of each word)."""
     size = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
-    joined = b"\n".join([t or b"" for t in texts]).lower()
+    joined = lower_case(texts)
     start, end = word_bounds(joined)
     code, h = codes.of(joined, start, end)
     owner = np.searchsorted(np.cumsum(size), start, "right")
@@ -418,11 +423,11 @@ def _around(rows: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [rows[at + k] for k in (*range(-REACH, 0), *range(1, REACH + 1))]
 
 
-_HELD: dict[str, tuple] = {}
+_HELD: dict[str, object] = {}
 
 
-def _held(key: str, make) -> tuple:
-    """What a worker makes from a broadcast, once for all its tasks."""
+def _held(key: str, make):
+    """What a worker makes, once for all tasks of a stage."""
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = make()
@@ -432,22 +437,24 @@ def _held(key: str, make) -> tuple:
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``h`` and ``c``: every lower-cased word of all documents, by 64-bit hash, and its count; summed in each task first."""
 
+    key = uuid.uuid4().hex
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        known, held = _held(key, lambda: Codes(None)), []
 
         def out() -> pa.RecordBatch:
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["h", "c"])
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
 
         for batch in batches:
-            for part in slices(batch, 0, 1_000_000):
-                for t in part.column(0).to_pylist():
-                    if t:
-                        seen.update(t.lower().split())
-                if len(seen) > 400_000:
+            for part in slices(batch, 0, 2_000_000):
+                texts = lower_case(part.column(0).to_pylist())
+                held.append(known.of(texts, *word_bounds(texts))[1])
+                if sum(map(len, held)) > 2_000_000:
                     yield out()
-                    seen.clear()
-        yield out()
+        if held:
+            yield out()
 
     source = docs.select(F.col(f"`{text}`").cast("string").cast("binary"))
     return store(source.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
