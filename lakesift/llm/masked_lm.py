@@ -17,7 +17,7 @@ from lakesift.llm.common import _FACTORS, discard, fresh, mix, store
 
 CLASSES, HIDDEN, REACH, BATCH = 64, 16, 2, 4096
 SUBS = 32  # parts of each class
-LEAST = 256  # tokens of a group of words, below which there is too little to learn from to tell its words apart by their neighbours
+LEAST = 256  # tokens of a group of words, below which counts tell its words apart
 NEVER = -30.0  # bias of what has no words
 LISTED = 131_072  # most frequent words, whose counts every worker holds; the counts of all others stay in a table
 OWN, SHARED = 16_384, 2_048  # rows of the network's input for the most frequent words, and for all others by hash
