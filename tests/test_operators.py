@@ -219,6 +219,28 @@ def test_overlaps_are_found_once(spark, monkeypatch):
         assert rows is several or "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
 
 
+def test_overlaps_shuffle_members_not_pairs(spark, monkeypatch):
+    """A key of many members is shuffled as a few blocks; groups of several keys of either sign are still found once."""
+    from lakesift.plans import relational
+
+    def written(plan):
+        kind = plan.getClass().getSimpleName()
+        inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+        inner += [] if inner or kind == "ReusedExchangeExec" else [plan.children().apply(k) for k in range(plan.children().size())]
+        return (plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0) + sum(written(p) for p in inner)
+
+    monkeypatch.setattr(relational, "BLOCK", 3)
+    df = relational._overlaps(spark.createDataFrame([(97 * k, 2 * k) for k in range(400)], "o_orderkey bigint, o_custkey bigint"))
+    got = {tuple(r) for r in df.collect()}
+    assert len(got) == 400 * 399 // 2 and 400 < written(df._jdf.queryExecution().executedPlan()) < 3 * 400
+    rng = random.Random(5)
+    rows = [(rng.randrange(-300, 300), rng.randrange(-9, 9)) for _ in range(500)]
+    got = [tuple(r) for r in relational._overlaps(spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint")).collect()]
+    by = lambda x, n: x - n * int(x / n)  # noqa: E731  # the remainder has the sign of x
+    want = {(g, h) for g, a in rows for h, b in rows if g < h and (a == b or (by(g, 97) == by(h, 97) and by(a, 2) == by(b, 2)))}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_time_policy_deals_analyses_once(spark, tmp_path, monkeypatch):
     """As many partitions as the rows need, of about equal size, and no other shuffle of what is derived from them."""
     from lakesift.operators import timepolicy
